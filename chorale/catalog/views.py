@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chorale.functions import sentiment, text, values
 from chorale.operators import themes, trends
 from chorale.plans import prepare
+from chorale.session import spread
 
 PHRASES = [
     "",
@@ -52,7 +53,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw reviews, all strings, from ``documents``; twelve weeks, four sessions."""
     doc, chars = F.col("doc_id"), F.col("n_chars")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (doc % 84).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("sess_"), (F.floor(chars / 12) % 4).cast("string")).alias("session_id"),
         doc.alias("raw_index"),
         doc.cast("string").alias("review_id"),

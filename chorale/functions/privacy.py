@@ -52,11 +52,12 @@ def masked_by_chunk(text: Column) -> Column:
             F.aggregate(parts, F.lit(0), lambda n, p: n + p["hits"]).alias("hits"),
         )
 
-    chunks = F.transform(
-        language_chunks(text), lambda c: c.dropFields("text")
-    )
-    pieces = F.transform(sentences(text), lambda part: masked(part))
-    return let(pieces, whole).withField("chunks", chunks)
+    def piece(part: Column) -> Column:
+        clean = F.struct(part.alias("text"), F.lit(0).alias("hits"))
+        return F.when(part.rlike(rules.MASKABLE), masked(part)).otherwise(clean)
+
+    chunks = F.transform(language_chunks(text), lambda c: c.dropFields("text"))
+    return let(F.transform(sentences(text), piece), whole).withField("chunks", chunks)
 
 
 def with_spans_masked(reviews: DataFrame, spans: DataFrame, models: list[str]) -> DataFrame:

@@ -28,13 +28,9 @@ def parsed(raw: DataFrame, run_ts: Column, text_limit: int | None = None) -> Dat
         "language", F.coalesce(F.nullif(given, F.lit("")), text.language(F.col("text_raw")))
     )
     mixed = F.col("language") == "mixed"
-    base = base.withColumn("_plain", F.when(~mixed, F.col("text_raw")))
-    base = base.withColumn(
-        "_mixed", F.when(mixed, privacy.masked_by_chunk(F.col("text_raw")))
-    )
-    base = privacy.with_masked(base, "_plain")
-    base = base.withColumn("masked", F.coalesce("masked", "_mixed.text"))
-    base = base.withColumn("pii_hits", F.coalesce("_mixed.hits", "pii_hits"))
+    # No mask reaches over a sentence end, so masking the whole text gives what masking a mixed
+    # text sentence by sentence gives; only the chunk facts need the sentences.
+    base = privacy.with_masked(base, "text_raw")
     base = base.withColumn("_words", text.words(F.lower("text_raw")))
     flagged = base.withColumn(
         "flags",
@@ -47,7 +43,8 @@ def parsed(raw: DataFrame, run_ts: Column, text_limit: int | None = None) -> Dat
         }),
     )
     stored = F.col("masked") if text_limit is None else F.left("masked", F.lit(text_limit))
-    chunks = F.coalesce("_mixed.chunks", F.array().cast(schemas.CHUNKS))
+    parts = F.transform(text.language_chunks(F.col("text_raw")), lambda c: c.dropFields("text"))
+    chunks = F.when(mixed, parts).otherwise(F.array().cast(schemas.CHUNKS))
     return flagged.select(
         "session_id",
         text.squeeze(F.col("review_id")).alias("review_id"),
