@@ -9,7 +9,8 @@ from chorale.catalog.core import query
 from chorale.catalog.views import assignments, clusters, feedback, questions, sql, sql_in, table
 from chorale.functions import values
 from chorale.functions.vectors import dot, norm
-from chorale.operators import clustering, features, ranking, similarity, themes
+from chorale.operators import clustering, features, similarity, themes
+from chorale.session import settled
 
 SQL_UNIT = "CAST(embedding AS DOUBLE[])"
 
@@ -174,7 +175,7 @@ SQL_GRAMS = rf"""
     grm AS (SELECT * EXCLUDE (w, text), unnest(list_concat(w, list_transform(list_zip(w[1:len(w)-1], w[2:len(w)]), lambda p: p[1] || ' ' || p[2]))) AS term FROM tok)"""
 SQL_WEIGHTS = """
     ter AS (SELECT doc_id, term, count(*) AS tf FROM grm GROUP BY ALL),
-    ndc AS (SELECT count(DISTINCT doc_id) AS n FROM ter),
+    ndc AS (SELECT count(*) AS n FROM fb),
     voc AS (SELECT term, sum(tf) AS total, count(*) AS df, ln((min(n) + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1.0 AS idf FROM ter, ndc GROUP BY term
       HAVING {0} QUALIFY row_number() OVER (ORDER BY total DESC, term) <= {1}),
     raw AS (SELECT doc_id, term, tf * idf AS w FROM ter JOIN voc USING (term)),
@@ -195,8 +196,9 @@ def per_term(terms, vocab):
 
 @query("agg_tfidf_word", sql("fb", f"""WITH {SQL_GRAMS.replace('{0}', '(SELECT raw_index AS doc_id, text FROM fb)')}, {SQL_WEIGHTS.format('count(*) <= 0.88 * min(n)', 2500)} {SQL_PER_TERM}"""))
 def agg_tfidf_word(spark, d):
-    terms = features.word_terms(documents(spark, d), [], STOP)
-    return per_term(terms, features.vocabulary(terms, [], 2500, 0.88))
+    docs = documents(spark, d)
+    terms = settled(features.word_terms(docs, [], STOP), "terms")
+    return per_term(terms, features.vocabulary(terms, docs, [], 2500, 0.88))
 
 
 SQL_CHAR = r"""
@@ -209,8 +211,9 @@ SQL_CHAR = r"""
 
 @query("agg_tfidf_char", sql("fb", f"WITH {SQL_CHAR}, {SQL_WEIGHTS.format('true', 2500).replace('count(*) AS tf FROM grm', 'sum(c) AS tf FROM grm')} {SQL_PER_TERM}"))
 def agg_tfidf_char(spark, d):
-    terms = features.char_terms(documents(spark, d), [])
-    return per_term(terms, features.vocabulary(terms, [], 2500))
+    docs = documents(spark, d)
+    terms = settled(features.char_terms(docs, []), "terms")
+    return per_term(terms, features.vocabulary(terms, docs, [], 2500))
 
 
 @query("agg_keywords_tfidf", sql("asg", f"""WITH {SQL_GRAMS.replace('{0}', '(SELECT session_id, cluster_id, raw_index AS doc_id, text FROM asg)')},
@@ -255,7 +258,8 @@ def ml_vectors_in(spark, d):
     qw AS (SELECT question_id, term, tf * idf AS w FROM qtf JOIN voc USING (term))
     SELECT question_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM qw GROUP BY ALL"""))
 def ret_query_vector(spark, d):
-    vocab = features.vocabulary(features.word_terms(documents(spark, d), [], STOP), [], 4000, 0.88)
+    docs = documents(spark, d)
+    vocab = features.vocabulary(features.word_terms(docs, [], STOP), docs, [], 4000, 0.88)
     asked = features.word_terms(questions(spark, d).select(F.col("question_id").alias("doc_id"), F.col("question").alias("text")), [], STOP)
     found = features.weights(asked, vocab, [])
     return found.groupBy(F.col("doc_id").alias("question_id")).agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"))

@@ -15,15 +15,29 @@ def _with_file(df: DataFrame) -> DataFrame:
     return df.withColumn("ingested_from", F.col("_metadata.file_path"))
 
 
-def read_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """Header, quoted fields with line breaks, UTF-8 with or without BOM, all strings."""
-    columns = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in schemas.RAW_FIELDS]
-    raw = (
-        spark.read.schema(schemas.RAW)
-        .options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False, **options)
-        .csv(path)
+def read_csv(spark: SparkSession, path: str, max_columns: int = 64, **options: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected files): quoted fields with line breaks, UTF-8 with or without BOM.
+
+    Columns go by the names in the header of each file, in any order and number; the CSV source
+    itself would go by position, with one header for all files. A file whose header lacks a
+    required name is rejected.
+    """
+    cells = [f"c{i}" for i in range(max_columns)]
+    raw = _with_file(
+        spark.read.schema(", ".join(f"{c} string" for c in cells))
+        .options(header=False, multiLine=True, quote='"', escape='"', **options).csv(path)
+    )
+    bare = F.regexp_replace("c0", '^\ufeff"?|"$', "")
+    names = F.array(F.when(F.startswith("c0", F.lit("\ufeff")), bare).otherwise(F.col("c0")), *cells[1:])
+    is_header = F.array_size(F.array_intersect(names, F.array(*[F.lit(f) for f in rules.REQUIRED_FIELDS]))) == len(rules.REQUIRED_FIELDS)
+    headers = raw.where(is_header).groupBy("ingested_from").agg(F.first(names).alias("_names"))
+    value = lambda f: F.get(F.array(*cells), (F.array_position("_names", f) - 1).cast("int"))
+    known = lambda f: F.when(F.array_contains("_names", f), value(f))
+    records = raw.where(~is_header).join(headers, "ingested_from").select(
+        *[F.coalesce(known(f), F.lit("")).alias(f) for f in schemas.RAW_FIELDS], "ingested_from"
     )
-    return _with_file(raw).select(*columns, "ingested_from")
+    rejected = raw.select("ingested_from").distinct().join(headers, "ingested_from", "left_anti")
+    return records, rejected.withColumn("code", F.lit("INPUT_SCHEMA_INVALID"))
 
 
 def read_json(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, DataFrame]:
@@ -69,10 +83,9 @@ def read_feedback(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         if suffix not in found:
             continue
         options = {"pathGlobFilter": SUFFIXES[suffix], "recursiveFileLookup": "true"}
-        if suffix == "csv":
-            frames.append(read_csv(spark, folder, **options))
-        elif suffix == "json":
-            records, rejected = read_json(spark, folder, **options)
+        if suffix in ("csv", "json"):
+            read = read_csv if suffix == "csv" else read_json
+            records, rejected = read(spark, folder, **options)
             frames.append(records)
             rejects.append(rejected)
         elif suffix == "jsonl":
