@@ -280,7 +280,7 @@ def rpt_runtime_metadata(spark, d):
     _, found, _, counters, diagnostics, _ = report_parts(spark, d)
     usage = job_events(spark, d).select(
         F.concat(F.lit("sess_"), (F.col("k") % 4).cast("string")).alias("session_id"), F.col("stage").alias("agent"),
-        F.when(F.col("k") % 4 == 0, "local").when(F.col("k") % 8 == 1, "openai").otherwise("fallback").alias("mode"), F.lit(True).alias("used"),
+        F.when(F.col("k") % 4 == 0, "local").when(F.col("k") % 8 == 1, "hosted").otherwise("fallback").alias("mode"), F.lit(True).alias("used"),
     )
     top = ranking.top_clusters(found.where(~F.col("weak")), 5).groupBy("session_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "cluster_id"))).alias("t")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chorale import rules
 from chorale.functions.values import fixed, week_key
+from chorale.operators.attach import attach
 
 
 def weekly_counts(df: DataFrame, keys: list[str], moment: str) -> DataFrame:
@@ -22,8 +23,7 @@ def zero_filled(weekly: DataFrame, keys: list[str]) -> DataFrame:
     """Add the weeks that other keys have and this key lacks, between its first and last one."""
     bounds = weekly.groupBy(*keys).agg(F.min("week_key").alias("_lo"), F.max("week_key").alias("_hi"))
     weeks = weekly.agg(F.array_sort(F.collect_set("week_key")).alias("_weeks"))
-    grid = bounds.withColumn("_one", F.lit(1)).join(weeks.withColumn("_one", F.lit(1)), "_one")
-    filled = grid.select(*keys, "_lo", "_hi", F.explode("_weeks").alias("week_key")).where(
+    filled = attach(bounds, weeks, []).select(*keys, "_lo", "_hi", F.explode("_weeks").alias("week_key")).where(
         F.col("week_key").between(F.col("_lo"), F.col("_hi"))
     )
     return filled.drop("_lo", "_hi").join(weekly, [*keys, "week_key"], "left").withColumn(
