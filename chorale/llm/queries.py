@@ -2,6 +2,7 @@
 
 from chorale.llm import (  # noqa: F401
     grace_dedup,
+    quality_trees,
     shard_balance,
     url_automaton,
 )
