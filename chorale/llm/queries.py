@@ -4,6 +4,7 @@ from chorale.llm import (  # noqa: F401
     grace_dedup,
     quality_trees,
     shard_balance,
+    toxic_kernel,
     url_automaton,
 )
 from chorale.llm.registry import ORACLES, QUERIES
