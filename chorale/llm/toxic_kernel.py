@@ -2,7 +2,7 @@
 
 The kernel of two words is the sum, over common subsequences of three letters that lie within
 ``SPAN`` letters of each word, of ``DECAY`` to the number of skipped letters, divided by the words'
-norms. Accents, digits used as letters and case are folded; marks inside a word count as skipped
+norms. Case and digits used as letters are folded; marks inside a word count as skipped
 letters, and single letters set apart by blanks (``i d i o t``) count as one word. So insults with
 inserted or dropped characters stay close to their landmark.
 
@@ -22,7 +22,6 @@ labels. Repeated rows get equal scores. A null doc_id is never held out and neve
 
 from __future__ import annotations
 
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -38,6 +37,7 @@ PER_CLASS = 5_000
 SPAN, DECAY = 5, 0.6
 LANDMARKS = 160
 SURPRISE = 3.0
+HARD = 2_000
 FLOOR = -2.0
 _PATTERNS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]  # places of letters 2 and 3 after letter 1
 _BLANK, _MARK = 0, 63  # symbols 1..62 are letters
@@ -50,14 +50,14 @@ def symbols() -> np.ndarray:
     """The symbol of every code point: a-z are 1..26, other letters 27..62 by code point."""
     out = np.full(0x110000, _MARK, np.uint8)
     for c in range(0x3000):
-        letter = unicodedata.normalize("NFKD", chr(c).lower())[:1]
+        letter = chr(c).lower()[:1]
         letter = _LOOKALIKES.get(letter, letter)
         if chr(c).isspace():
             out[c] = _BLANK
         elif "a" <= letter <= "z":
             out[c] = ord(letter) - 96
         elif letter.isalpha():
-            out[c] = 27 + ord(letter) % 36
+            out[c] = 27 + ord(letter) % 36  # accents tell words of one language from another's
     high = np.arange(0x3000, 0x110000)
     out[0x3000:] = 27 + high % 36
     out[0x3000] = _BLANK
@@ -196,6 +196,21 @@ def _distinct_words(batches):
         )
 
 
+def _problem(insults: list[tuple[str, int]], clean: list[tuple[str, int]], hard: list[str] = ()):
+    """Words, their classes and weights, and which of them are landmarks: insults, hard words, frequent words."""
+    words = [w for w, _ in insults + clean]
+    y = np.array([1.0] * len(insults) + [-1.0] * len(clean))
+    importance = np.sqrt(np.array([n for _, n in insults + clean], np.float64))
+    importance[np.isin(words, list(hard))] *= 3
+    for label in (1, -1):
+        importance[y == label] /= importance[y == label].sum()
+    place = {w: i for i, w in enumerate(words)}
+    landmarks = list(range(min(len(insults), LANDMARKS // 2)))
+    rest = [place[w] for w in hard[: LANDMARKS // 4]] + list(range(len(insults), len(words)))
+    landmarks += list(dict.fromkeys(rest))[: LANDMARKS - len(landmarks)]
+    return words, y, importance, landmarks
+
+
 class Machine:
     def __init__(self, weights: np.ndarray | None, bias: float, scale: np.ndarray | None, prior: float):
         self.weights, self.bias, self.scale, self.prior = weights, bias, scale, prior
@@ -236,14 +251,16 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
     rare = [(r.word, 1) for r in plain.orderBy(F.xxhash64("word")).limit(9_000).collect()]
     known = {w for w, _ in insults}
     clean = [x for x in dict(rare + common).items() if x[0] not in known]
-    pool = insults + clean
-    y = np.array([1.0] * len(insults) + [-1.0] * len(clean))
-    importance = np.sqrt(np.array([n for _, n in pool], np.float64))
-    for label in (1, -1):
-        importance[y == label] /= importance[y == label].sum()
-    landmarks = list(range(min(len(insults), LANDMARKS // 2)))
-    landmarks += list(range(len(insults), min(len(pool), len(insults) + LANDMARKS - len(landmarks))))
-    weights, bias = fitted([w for w, _ in pool], y, importance, landmarks)
+    weights, bias = fitted(*_problem(insults, clean))
+
+    def value(batches):
+        for batch in batches:
+            top = [max(word_scores(w.as_py(), weights, bias), default=FLOOR) for w in batch.column("word")]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("clean"), pa.array(top, pa.float64())], names=["word", "clean", "value"])
+
+    near = plain.select("word", "clean").mapInArrow(value, "word string, clean long, value double")
+    hard = [(r.word, 1 + r.clean) for r in near.orderBy(F.desc("value"), "word").limit(HARD).collect() if r.word not in known]
+    weights, bias = fitted(*_problem(insults, list(dict(clean + hard).items()), [w for w, _ in hard]))
 
     def high(batches):
         for batch in batches:
