@@ -246,7 +246,7 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
     insults = [(r.word, r.toxic) for r in marked.where("sure").orderBy(F.desc("toxic"), "word").limit(1_500).collect()]
     if not insults:
         return Machine(None, 0.0, None, float(sizes[1] / sum(sizes.values())))
-    plain = marked.where(part <= share * 1.5)
+    plain = marked.where(~F.col("sure") & (part <= 0.5))
     common = [(r.word, r.clean) for r in plain.orderBy(F.desc("clean"), "word").limit(3_000).collect()]
     rare = [(r.word, 1) for r in plain.orderBy(F.xxhash64("word")).limit(9_000).collect()]
     known = {w for w, _ in insults}
