@@ -1,6 +1,7 @@
 """Imports every operator module of this subpackage, so that all queries are registered."""
 
 from chorale.llm import (  # noqa: F401
+    bpe_chunks,
     grace_dedup,
     quality_trees,
     shard_balance,
