@@ -4,6 +4,7 @@ from chorale.llm import (  # noqa: F401
     bpe_chunks,
     grace_dedup,
     quality_trees,
+    secret_grammar,
     shard_balance,
     toxic_kernel,
     url_automaton,
