@@ -2,12 +2,14 @@
 
 from chorale.llm import (  # noqa: F401
     bpe_chunks,
+    decontaminate,
     grace_dedup,
     quality_trees,
     secret_grammar,
     shard_balance,
     toxic_kernel,
     url_automaton,
+    window_dedup,
 )
 from chorale.llm.registry import ORACLES, QUERIES
 
