@@ -4,6 +4,7 @@ from chorale.llm import (  # noqa: F401
     bpe_chunks,
     decontaminate,
     grace_dedup,
+    occurrence_join,
     quality_trees,
     secret_grammar,
     shard_balance,
