@@ -214,10 +214,10 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     return texts(docs).mapInArrow(scan, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(coded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and further columns of ``coded``."""
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -296,11 +296,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, tag, n_shingles, class_id, component_id of every row of ``docs``."""
+    """doc_id, tag, n_shingles, class_id, component_id, root, first of every row of ``docs``.
+
+    ``root`` names the component (null for empty sets); ``first`` says whether (doc_id, tag) is its first text.
+    """
     tag = F.shiftrightunsigned(F.xxhash64("content"), 33)
     source = texts(docs).select("doc_id", F.col("text").cast("binary").alias("content")).withColumn("tag", tag)
     rows = settled(source.mapInArrow(_sets, _SETS), "shingle-sets")
-    classes = rows.where("n > 0").groupBy("sig", "cls", "n").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    classes = rows.where("n > 0").groupBy("sig", "cls", "n").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "tag")).alias("first"))
     classes = settled(classes.select("sig", "cls", "n", "first.doc_id", "first.tag"), "shingle-classes")
     sizes = classes.groupBy("cls").agg(F.min("n").alias("n"))
 
@@ -339,12 +342,16 @@ def joined(docs: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TO
     )
     links = settled(placed.groupBy("unit").applyInPandas(_searched(percent), "u binary, v binary"), "shingle-links")
     linked = components(links.select(F.hex("u").alias("u"), F.hex("v").alias("v")))
-    named = classes.select("sig", F.col("doc_id").alias("class_id"), F.hex("sig").alias("node")).join(linked, "node", "left")
-    named = named.withColumn("root", F.coalesce("root", "node"))
-    named = named.join(named.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select("sig", "class_id", "component_id")
+    named = classes.select("sig", F.col("doc_id").alias("class_id"), F.col("tag").alias("class_tag"), F.hex("sig").alias("node"))
+    named = named.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = named.groupBy("root").agg(
+        F.min("class_id").alias("component_id"), F.min(F.struct(F.isnull("class_id").alias("no_id"), "class_id", "class_tag")).alias("head")
+    )
+    named = named.join(heads, "root").select("sig", "class_id", "component_id", "root", "head")
     return rows.join(named, "sig", "left").select(
         "doc_id", "tag", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("component_id", "doc_id").alias("component_id"), "root",
+        F.coalesce(F.col("head.class_id").eqNullSafe(F.col("doc_id")) & (F.col("head.class_tag") == F.col("tag")), F.lit(False)).alias("first"),
     )
 
 
@@ -356,6 +363,20 @@ def _tokens(batches):
         )
 
 
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, its smallest doc_id, with the columns of ``docs``; texts without words stay.
+
+    An exact repeat of a row stays once.
+    """
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    first = joined(docs, percent).where("first").select(F.col("doc_id").alias("_first_id"), F.col("tag").alias("_first_tag")).distinct()
+    tag = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("binary")), 33)
+    keyed = docs.where(words).withColumn("_tag", tag).withColumn("_doc_id", F.col("doc_id").cast("long"))
+    same = F.col("_doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_tag") == F.col("_first_tag"))
+    kept = keyed.join(first, same, "left_semi").dropDuplicates(["_doc_id", "_tag"])
+    return kept.select(docs.columns).unionAll(docs.where(~words))
+
+
 @query("op3_ngram_jaccard")
 def op3_ngram_jaccard(spark, sf_dir):
     return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -25,6 +25,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -295,7 +296,11 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs`` with a score below 0.5, all columns as they came; scored where they lie."""
     machine = trained(docs, labels, per_class=per_class)
-    toxic = F.udf(lambda t: machine.score(t or "") >= 0.5, "boolean", useArrow=True)
+
+    @F.pandas_udf("boolean")
+    def toxic(column: pd.Series) -> pd.Series:
+        return pd.Series([machine.score(t or "") >= 0.5 for t in column], dtype=bool)
+
     return docs.where(~toxic("text"))
 
 
