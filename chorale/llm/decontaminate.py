@@ -70,7 +70,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with the columns _n_words, _n_hit and _items (sorted ids of the items found)."""
+    """(row, n_words, n_hit, items): every row of ``docs`` as a struct, its words, words hit and sorted items found."""
 
     def small(frame: DataFrame) -> DataFrame:
         return F.broadcast(frame) if frame.count() <= broadcast_rows else frame
@@ -79,7 +79,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     text = F.coalesce(F.col("text"), F.lit(""))
     # the list may begin and end with an empty string; positions are counted from the first word
     parts = F.split(_folded(text), SEPARATORS)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_text": F.xxhash64("text")})
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("id"), F.xxhash64("text").alias("tag"), text.alias("text"), parts.alias("parts"))
     vocabulary = settled(windows.select(F.explode("folded").alias("word")).distinct(), "benchmark-words")
     counts = docs.select(F.explode(parts).alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     counts = settled(counts, "benchmark-counts")
@@ -88,29 +89,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     prefixes = prefixes.select("item", "exact", "place", "word", F.coalesce("n", F.lit(0)).alias("n"))
     prefixes = prefixes.withColumn("rank", F.row_number().over(rarest)).where("rank = 1 AND n > 0").select("word", "place", "item", "exact")
     prefixes = settled(prefixes, "benchmark-prefixes")
-    places = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_text"), parts.alias("parts"),
-    ).select("_id", "_text", _lead(F.col("parts")).alias("lead"), _count(F.col("parts")).alias("n_words"), F.posexplode("parts").alias("pos", "word"))
+    places = keyed.select(
+        "id", "tag", _lead(F.col("parts")).alias("lead"), _count(F.col("parts")).alias("n_words"), F.posexplode("parts").alias("pos", "word")
+    )
     found = places.join(small(prefixes), "word")
     start = F.col("pos") - F.col("lead") - F.col("place")
     found = found.withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.size("exact") <= F.col("n_words")))
-    gathered = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "item", "exact")).alias("_found"))
-    counted = keyed.withColumn("_parts", parts).withColumn("_n_words", _count(F.col("_parts"))).drop("_parts")
-    joined = counted.join(gathered, ["_id", "_text"], "left")
-    words = F.when(F.col("_found").isNotNull(), _words(_exact(text)))
-    joined = joined.withColumn("_words", words)
-    held = F.filter("_found", lambda c: F.slice(F.col("_words"), c["start"] + 1, F.size(c["exact"])) == c["exact"])
-    joined = joined.withColumn("_held", held)
-    places_hit = F.array_distinct(F.flatten(F.transform("_held", lambda c: F.sequence(c["start"], c["start"] + F.size(c["exact"]) - 1))))
+    gathered = found.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "item", "exact")).alias("found"))
+    counted = keyed.select("row", "id", "tag", "text", _count(F.col("parts")).alias("n_words"))
+    words = F.when(F.col("found").isNotNull(), _words(_exact(F.col("text"))))
+    joined = counted.join(gathered, ["id", "tag"], "left").select("row", "n_words", "found", words.alias("words"))
+    held = F.filter("found", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["exact"])) == c["exact"])
+    joined = joined.select("row", "n_words", held.alias("held"))
+    hit = F.array_distinct(F.flatten(F.transform("held", lambda c: F.sequence(c["start"], c["start"] + F.size(c["exact"]) - 1))))
     return joined.select(
-        *docs.columns, "_n_words", F.coalesce(F.when(F.size("_held") > 0, F.size(places_hit)), F.lit(0)).alias("_n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("_held", lambda c: c["item"]))), F.array().cast("array<string>")).alias("_items"),
+        "row", "n_words", F.coalesce(F.when(F.size("held") > 0, F.size(hit)), F.lit(0)).alias("n_hit"),
+        F.coalesce(F.array_sort(F.array_distinct(F.transform("held", lambda c: c["item"]))), F.array().cast("array<string>")).alias("items"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window, with the columns of ``docs``."""
-    return hits(docs, benchmark, window).where("_n_hit = 0").select(docs.columns)
+    return hits(docs, benchmark, window).where("n_hit = 0").select("row.*")
 
 
 SQL = f"""
@@ -140,7 +140,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 def op8_decontamination(spark, sf_dir):
     found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", F.col("_n_words").cast("long").alias("n_words"), F.col("_n_hit").cast("long").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.col("_n_hit") > 0).alias("contaminated"),
+        "row.doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -211,12 +211,11 @@ def deduplicated(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
     Rows with one doc_id and different texts are judged apart; an exact repeat of a row stays once.
     """
-    kept = grouped(docs, table_bytes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = grouped(docs, table_bytes).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     body = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER), 256)
-    keyed = docs.withColumn("_kept_id", F.col("doc_id").cast("long")).withColumn("_kept_sha", body)
-    same = F.col("_kept_id").eqNullSafe(F.col("_id")) & (F.col("_kept_sha") == F.col("_sha"))
-    joined = keyed.join(kept, same, "left_semi")
-    return joined.dropDuplicates(["_kept_id", "_kept_sha"]).select(docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), body.alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
 
 
 SQL = """

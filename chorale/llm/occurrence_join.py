@@ -369,12 +369,12 @@ def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     An exact repeat of a row stays once.
     """
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    first = joined(docs, percent).where("first").select(F.col("doc_id").alias("_first_id"), F.col("tag").alias("_first_tag")).distinct()
+    first = joined(docs, percent).where("first").select(F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag")).distinct()
     tag = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("binary")), 33)
-    keyed = docs.where(words).withColumn("_tag", tag).withColumn("_doc_id", F.col("doc_id").cast("long"))
-    same = F.col("_doc_id").eqNullSafe(F.col("_first_id")) & (F.col("_tag") == F.col("_first_tag"))
-    kept = keyed.join(first, same, "left_semi").dropDuplicates(["_doc_id", "_tag"])
-    return kept.select(docs.columns).unionAll(docs.where(~words))
+    keyed = docs.where(words).select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), tag.alias("tag"))
+    same = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tag") == F.col("first_tag"))
+    kept = keyed.join(first, same, "left_semi").dropDuplicates(["id", "tag"])
+    return kept.select("row.*").unionAll(docs.where(~words))
 
 
 @query("op3_ngram_jaccard")

@@ -14,6 +14,8 @@ the verdict is ``default``. Rows keep their number: repeated rows are judged one
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ class ShiftAnd:
         next_bits, stay_bits, enter, start, final = {}, {}, [], [], []
         bit = 0
         for glob in globs:
-            raw, i, first = glob.encode(), 0, True
+            raw, i = re.sub(r"\*{2,}", "**", glob).encode(), 0  # any more stars in a row say no more
             start.append(bit)  # an anchor state: on before the first byte only
             bit += 1
             while i < len(raw):
@@ -52,7 +54,7 @@ class ShiftAnd:
                 else:
                     next_bits[bit] = [b for b in range(256) if b != SLASH] if raw[i : i + 1] == b"?" else [raw[i]]
                     i += 1
-                bit, first = bit + 1, False
+                bit += 1
             final.append(bit - 1)
         self.words = max(1, -(-bit // 64))
         self.final = final
