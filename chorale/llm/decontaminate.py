@@ -97,10 +97,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     found = found.withColumn("start", start).where((F.col("start") >= 0) & (F.col("start") + F.size("exact") <= F.col("n_words")))
     gathered = found.groupBy("id", "tag").agg(F.collect_set(F.struct("start", "item", "exact")).alias("found"))
     counted = keyed.select("row", "id", "tag", "text", _count(F.col("parts")).alias("n_words"))
+    joined = counted.join(gathered, ["id", "tag"], "left")
+
+    def in_text(words: Column) -> Column:
+        return F.filter("found", lambda c: F.slice(words, c["start"] + 1, F.size(c["exact"])) == c["exact"])
+
+    # the words are bound to a lambda's variable: else the optimiser would split the text again for every candidate
     words = F.when(F.col("found").isNotNull(), _words(_exact(F.col("text"))))
-    joined = counted.join(gathered, ["id", "tag"], "left").select("row", "n_words", "found", words.alias("words"))
-    held = F.filter("found", lambda c: F.slice(F.col("words"), c["start"] + 1, F.size(c["exact"])) == c["exact"])
-    joined = joined.select("row", "n_words", held.alias("held"))
+    joined = joined.select("row", "n_words", F.transform(F.array(words), in_text)[0].alias("held"))
     hit = F.array_distinct(F.flatten(F.transform("held", lambda c: F.sequence(c["start"], c["start"] + F.size(c["exact"]) - 1))))
     return joined.select(
         "row", "n_words", F.coalesce(F.when(F.size("held") > 0, F.size(hit)), F.lit(0)).alias("n_hit"),
