@@ -238,8 +238,8 @@ def person_spans(rows, column="masked"):
         span(first, begin(first) + 1, F.length(first), "PER"),
         span(second, begin(second), F.length(second), "ORG"),
     )
-    found = rows.select("review_id", F.explode(options).alias("s"))
-    return found.where(F.col("s.text").isNotNull()).select("review_id", F.lit("en").alias("model"), "s.*")
+    found = rows.select("session_id", "review_id", F.explode(options).alias("s"))
+    return found.where(F.col("s.text").isNotNull()).select("session_id", "review_id", F.lit("en").alias("model"), "s.*")
 
 
 @query("pii_mask_spans", sql("nrm", r"""
@@ -247,7 +247,7 @@ def person_spans(rows, column="masked"):
     SELECT review_id, CASE WHEN f IS NULL THEN t ELSE substr(t, 1, instr(t, f)) || '[PERSON]' || substr(t, instr(t, f) + 1 + length(f)) END AS masked,
       CASE WHEN f IS NULL THEN 0 ELSE 1 END AS span_hits FROM w"""))
 def pii_mask_spans(spark, d):
-    rows = normalized(spark, d).select("review_id", F.col("text_raw").alias("masked"))
+    rows = normalized(spark, d).select("session_id", "review_id", F.col("text_raw").alias("masked"))
     return privacy.with_spans_masked(rows, person_spans(rows), ["en"]).select("review_id", "masked", "span_hits")
 
 
@@ -258,7 +258,7 @@ def pii_mask_spans(spark, d):
       h + CASE WHEN f IS NULL THEN 0 ELSE 1 END AS pii_hits,
       CASE WHEN language IN ('ru', 'en', 'mixed') THEN 'regex+spacy' ELSE 'regex' END AS pii_backend FROM w"""))
 def pii_mask_pipeline(spark, d):
-    rows = privacy.with_masked(normalized(spark, d), "text_raw").select("review_id", "language", "masked", "pii_hits")
+    rows = privacy.with_masked(normalized(spark, d), "text_raw").select("session_id", "review_id", "language", "masked", "pii_hits")
     done = privacy.with_person_pipeline(rows, person_spans(rows))
     return done.select("review_id", "masked", "pii_hits", "pii_backend")
 

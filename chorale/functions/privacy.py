@@ -60,11 +60,17 @@ def masked_by_chunk(text: Column) -> Column:
     return let(F.transform(sentences(text), piece), whole).withField("chunks", chunks)
 
 
-def with_spans_masked(reviews: DataFrame, spans: DataFrame, models: list[str]) -> DataFrame:
+REVIEW = ("session_id", "review_id")
+
+
+def with_spans_masked(
+    reviews: DataFrame, spans: DataFrame, models: list[str], keys: tuple[str, ...] = REVIEW
+) -> DataFrame:
     """Replace externally found person spans, model after model, right to left.
 
-    ``reviews`` needs ``review_id`` and ``masked``; ``spans`` has ``review_id, model, start, end,
-    label, text`` with positions in the text that the earlier model left. Adds ``span_hits``.
+    ``reviews`` needs the keys and ``masked``; ``spans`` has the keys and ``model, start, end, label,
+    text`` with positions in the text that the earlier model left. Adds ``span_hits``. A review_id is
+    unique in its session only.
     """
     usable = spans.where(
         F.col("label").isin(rules.PERSON_LABELS)
@@ -76,7 +82,7 @@ def with_spans_masked(reviews: DataFrame, spans: DataFrame, models: list[str]) -
     for model in models:
         ordered = (
             usable.where(F.col("model") == model)
-            .groupBy("review_id")
+            .groupBy(*keys)
             .agg(F.collect_list(F.struct(-F.col("start"), "start", "end")).alias("_spans"))
         )
         start = F.struct(
@@ -100,7 +106,7 @@ def with_spans_masked(reviews: DataFrame, spans: DataFrame, models: list[str]) -
 
         spans_desc = F.array_sort(F.coalesce("_spans", F.array().cast(ordered.schema["_spans"].dataType)))
         out = (
-            out.join(ordered, "review_id", "left")
+            out.join(ordered, list(keys), "left")
             .withColumn("_state", F.aggregate(spans_desc, start, replace))
             .withColumn("masked", F.col("_state.text"))
             .withColumn("span_hits", F.col("span_hits") + F.col("_state.hits"))
@@ -109,13 +115,13 @@ def with_spans_masked(reviews: DataFrame, spans: DataFrame, models: list[str]) -
     return out
 
 
-def with_person_pipeline(reviews: DataFrame, spans: DataFrame) -> DataFrame:
+def with_person_pipeline(reviews: DataFrame, spans: DataFrame, keys: tuple[str, ...] = REVIEW) -> DataFrame:
     """Regex-masked reviews plus the span models of their language: ru, en, or en then ru."""
     reads = F.col("language").isin("ru", "en", "mixed")
-    wanted = spans.join(reviews.select("review_id", "language"), "review_id").where(
+    wanted = spans.join(reviews.select(*keys, "language"), list(keys)).where(
         F.col("language").isin("mixed") | (F.col("model") == F.col("language"))
     )
-    out = with_spans_masked(reviews, wanted.drop("language"), ["en", "ru"])
+    out = with_spans_masked(reviews, wanted.drop("language"), ["en", "ru"], keys)
     return out.withColumn("pii_hits", F.col("pii_hits") + F.col("span_hits")).withColumn(
         "pii_backend", F.when(reads, "regex+spacy").otherwise("regex")
     )

@@ -183,7 +183,7 @@ def density_links(points: DataFrame, eps: float, tile_rows: int = TILE_ROWS) ->
     return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(reduce, schema)
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each component, by alternating star steps.
 
     Each round joins every link with the smallest neighbour of its ends; checkpoints in the shared
@@ -192,7 +192,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 5
     start = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = settled(start.where("u <> v").distinct(), "links")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -206,8 +206,6 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 5
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(edges.select(F.col("u").alias("node"), "v"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component")
     )
@@ -272,15 +270,18 @@ def selected_profile(
     )
 
 
-def run_mode(sessions: DataFrame) -> DataFrame:
+def run_mode(
+    sessions: DataFrame, min_reviews: int = rules.MIN_CLUSTER_SIZE, low_data_rows: int = rules.LOW_DATA_ROWS,
+    least_quality: float = rules.DEGRADED_QUALITY,
+) -> DataFrame:
     """Degraded and low-data flags; ``sessions``: session_id, reviews, quality_score."""
-    tiny = F.col("reviews") < rules.MIN_CLUSTER_SIZE
-    low_data = F.col("reviews") < rules.LOW_DATA_ROWS
+    tiny = F.col("reviews") < min_reviews
+    low_data = F.col("reviews") < low_data_rows
     quality = F.when(tiny, 0.0).otherwise(F.col("quality_score"))
     return sessions.select(
         "session_id", "reviews", quality.alias("quality_score"), tiny.alias("one_cluster"),
         low_data.alias("low_data_mode"),
-        (tiny | (quality < rules.DEGRADED_QUALITY) | low_data).alias("degraded_mode"),
+        (tiny | (quality < least_quality) | low_data).alias("degraded_mode"),
     )
 
 

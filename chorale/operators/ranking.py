@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale import rules
-
 
 def top_k(
     df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank"
@@ -34,8 +32,8 @@ def by_priority() -> list[Column]:
 
 
 def top_clusters(clusters: DataFrame, k: int = 3) -> DataFrame:
-    """The k (at most 10) clusters of highest priority per session."""
-    return top_k(clusters, ["session_id"], by_priority(), min(k, rules.MAX_HITS))
+    """The k clusters of highest priority per session."""
+    return top_k(clusters, ["session_id"], by_priority(), k)
 
 
 def quotes(reviews: DataFrame, limit: int = 3) -> DataFrame:

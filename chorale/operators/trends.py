@@ -31,18 +31,30 @@ def zero_filled(weekly: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _exact(name: str) -> Column:
+    """A count as DECIMAL: squares of large counts pass BIGINT, and differences of them pass DOUBLE."""
+    return F.col(name).cast("decimal(19,0)")
+
+
+def _deviation(count: Column, total: Column, squares: Column) -> Column:
+    whole = "decimal(38,0)"
+    spread = count.cast("decimal(10,0)") * squares.cast("decimal(28,0)") - total.cast("decimal(19,0)") * total.cast("decimal(19,0)")
+    return F.sqrt(F.greatest(spread.cast(whole).cast("double"), F.lit(0.0))) / count.cast("double")
+
+
 def history(weekly: DataFrame, keys: list[str], order: str = "week_key") -> DataFrame:
     """Per key: weeks, latest count, and mean and deviation of all earlier weeks."""
     sums = weekly.groupBy(*keys).agg(
         F.count("*").alias("weeks"),
         F.max_by("n", order).alias("latest"),
-        F.sum("n").alias("_sum"),
-        F.sum(F.col("n") * F.col("n")).alias("_squares"),
+        F.sum(_exact("n")).alias("_sum"),
+        F.sum(_exact("n") * _exact("n")).alias("_squares"),
     )
-    earlier = (F.col("weeks") - 1).cast("double")
-    total = (F.col("_sum") - F.col("latest")).cast("double")
-    squares = (F.col("_squares") - F.col("latest") * F.col("latest")).cast("double")
-    spread = F.sqrt(earlier * squares - total * total) / earlier
+    before = F.col("weeks") - 1
+    earlier = before.cast("double")
+    rest = F.col("_sum") - _exact("latest")
+    squares = F.col("_squares") - _exact("latest") * _exact("latest")
+    total, spread = rest.cast("double"), _deviation(before, rest, squares)
     return sums.select(
         *keys, "weeks", "latest",
         F.when(F.col("weeks") > 1, total / earlier).alias("baseline_mean"),
@@ -92,11 +104,11 @@ def spike_alerts(
 def prior_week_stats(weekly: DataFrame, keys: list[str]) -> DataFrame:
     """For each week the mean and deviation of all weeks before it (weeks per key are few)."""
     before = Window.partitionBy(*keys).orderBy("week_key").rowsBetween(Window.unboundedPreceding, -1)
-    count = F.count("n").over(before).cast("double")
-    total = F.sum("n").over(before).cast("double")
-    squares = F.sum(F.col("n") * F.col("n")).over(before).cast("double")
+    count = F.count("n").over(before)
+    total = F.sum(_exact("n")).over(before)
+    squares = F.sum(_exact("n") * _exact("n")).over(before)
     return weekly.select(
         *keys, "week_key", "n",
-        (total / count).alias("prior_mean"),
-        (F.sqrt(count * squares - total * total) / count).alias("prior_std"),
+        F.when(count > 0, total.cast("double") / count).alias("prior_mean"),
+        F.when(count > 0, _deviation(count, total, squares)).alias("prior_std"),
     )

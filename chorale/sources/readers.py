@@ -15,14 +15,17 @@ def _with_file(df: DataFrame) -> DataFrame:
     return df.withColumn("ingested_from", F.col("_metadata.file_path"))
 
 
-def read_csv(spark: SparkSession, path: str, max_columns: int = 64, **options: str) -> tuple[DataFrame, DataFrame]:
+def read_csv(spark: SparkSession, path: str, **options: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejected files): quoted fields with line breaks, UTF-8 with or without BOM.
 
     Columns go by the names in the header of each file, in any order and number; the CSV source
     itself would go by position, with one header for all files. A file whose header lacks a
-    required name is rejected.
+    required name is rejected. The widest line with a required name sets how many cells are read.
     """
-    cells = [f"c{i}" for i in range(max_columns)]
+    named = F.greatest(*[F.contains("value", F.lit(f)) for f in rules.REQUIRED_FIELDS])
+    separators = F.length("value") - F.length(F.replace("value", F.lit(options.get("sep", ","))))
+    widest = spark.read.options(**options).text(path).where(named).agg(F.max(separators)).first()[0]
+    cells = [f"c{i}" for i in range((widest or 0) + 1)]
     raw = _with_file(
         spark.read.schema(", ".join(f"{c} string" for c in cells))
         .options(header=False, multiLine=True, quote='"', escape='"', **options).csv(path)
@@ -77,7 +80,8 @@ def read_feedback(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
         .select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"))
     )
-    found = {row.suffix for row in listing.select("suffix").distinct().collect()}
+    known = listing.where(F.col("suffix").isin(list(SUFFIXES)))
+    found = {row.suffix for row in known.select("suffix").distinct().collect()}
     frames, rejects = [], []
     for suffix in SUFFIXES:
         if suffix not in found:
@@ -109,19 +113,27 @@ def input_limits(
     raw: DataFrame,
     uploads: DataFrame,
     size: Column,
-    max_rows: int = rules.MAX_UPLOAD_ROWS,
-    max_bytes: int = rules.MAX_UPLOAD_BYTES,
+    max_rows: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Verdict per upload (session): empty, too many rows, too many bytes, or accepted."""
+    """Verdict per upload (session): empty, too many rows, too many bytes, or accepted.
+
+    There is no quota unless one is given; ``rules`` holds the quotas of an interactive upload.
+    """
     counted = raw.groupBy("session_id").agg(
         F.count("*").alias("total_records"), F.sum(size).alias("total_bytes")
     )
     joined = uploads.select("session_id").join(counted, "session_id", "left")
     rows = F.coalesce("total_records", F.lit(0))
     weight = F.coalesce("total_bytes", F.lit(0))
+    over = F.lit(False)
+    if max_rows is not None:
+        over = over | (rows > max_rows)
+    if max_bytes is not None:
+        over = over | (weight > max_bytes)
     code = (
         F.when(rows == 0, "INPUT_SCHEMA_INVALID")
-        .when((rows > max_rows) | (weight > max_bytes), "INPUT_LIMIT_EXCEEDED")
+        .when(over, "INPUT_LIMIT_EXCEEDED")
         .otherwise("ACCEPTED")
     )
     return joined.select("session_id", rows.alias("total_records"), weight.alias("total_bytes"), code.alias("code"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from chorale import schemas
@@ -29,18 +30,30 @@ def replace_sessions(rows: DataFrame, path: str) -> None:
     ).partitionBy("session_id").parquet(path)
 
 
-def append_log(rows: DataFrame, path: str, by: str) -> None:
-    """Append events, turns, or state changes; ``by`` is a low-cardinality partition column."""
-    rows.write.mode("append").partitionBy(by).parquet(path)
+def append_log(rows: DataFrame, path: str, by: str, batch: str) -> None:
+    """Append events, turns, or state changes; ``by`` is a low-cardinality partition column.
+
+    A repeated ``batch`` replaces what its earlier attempt left.
+    """
+    rows.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={batch}")
+
+
+def append_trace(rows: DataFrame, path: str, batch: str) -> None:
+    """JSON-lines copy of the event log, repeatable by batch."""
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
-def append_trace(rows: DataFrame, path: str) -> None:
-    """JSON-lines copy of the event log."""
-    rows.write.mode("append").json(path)
+#: Partition columns that are text; left alone, the reader takes '001' and '1' for the same number.
+TEXT_KEYS = ("session_id", "kind", "upload", "batch", "stage", "job_id")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+def read_table(spark: SparkSession, path: str, merge: bool = False) -> DataFrame:
+    """A stored table. ``merge`` reads every footer, for tables whose columns changed over time."""
+    reader = spark.read.option("mergeSchema", merge)
+    found, stored = reader.parquet(path).schema, reader.option("recursiveFileLookup", True).parquet(path).columns
+    text = {f.name for f in found if f.name in TEXT_KEYS and f.name not in stored}
+    fields = [T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def upserted(current: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -66,7 +79,7 @@ def upsert_vectors(vectors: DataFrame, path: str) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return latest(read_table(spark, path), ["session_id", "kind", "item_id"], "version")
+    return latest(read_table(spark, path, merge=True), ["session_id", "kind", "item_id"], "version")
 
 
 def save_index(parts: dict[str, DataFrame], path: str) -> None:
@@ -80,7 +93,7 @@ def load_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, Da
     parts = {}
     for name in names:
         try:
-            part = read_table(spark, f"{path}/{name}")
+            part = read_table(spark, f"{path}/{name}", merge=True)
         except AnalysisException as error:
             raise FileNotFoundError(f"INDEX_NOT_FOUND: {path}/{name}") from error
         for column, default in schemas.INDEX_DEFAULTS.items():

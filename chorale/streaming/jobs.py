@@ -16,6 +16,7 @@ from chorale.operators import trends
 from chorale.operators.metrics import latency_histogram
 from chorale.operators.ranking import latest
 from chorale.plans import prepare
+from chorale.sources.writers import read_table
 
 WEEK, MONDAY = "7 days", "4 days"  # windows start on Thursday 1970-01-01; four days make it Monday
 
@@ -39,7 +40,7 @@ def ingest(uploads: DataFrame, run_ts: Column, out: str, checkpoint: str, after:
     """
     def store(batch: DataFrame, number: int) -> None:
         rows = prepare.parsed(batch, run_ts)
-        tagged = rows.withColumn("upload", F.sha2(F.col("metadata.ingested_from"), 256).substr(1, 16))
+        tagged = rows.withColumn("upload", F.sha2(F.col("metadata.ingested_from"), 256))
         tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "upload").parquet(out)
         if after is not None:
             after(number)
@@ -49,8 +50,7 @@ def ingest(uploads: DataFrame, run_ts: Column, out: str, checkpoint: str, after:
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
     """Kept reviews of all uploads so far."""
-    rows = spark.read.parquet(out).withColumn("session_id", F.col("session_id").cast("string"))
-    return prepare.first_per_hash(rows).where(~F.col("residual"))
+    return prepare.first_per_hash(read_table(spark, out)).where(~F.col("residual"))
 
 
 def deduplicated(rows: DataFrame, event_time: str, delay: str, keys: list[str]) -> DataFrame:

@@ -127,12 +127,14 @@ def test_residual(spark):
 
 
 def test_person_spans_replace_right_to_left(spark):
-    reviews = spark.createDataFrame([("r1", "Ann met Bob Li and Ann2"), ("r2", "nobody")], "review_id string, masked string")
+    reviews = spark.createDataFrame([("s", "r1", "Ann met Bob Li and Ann2"), ("s", "r2", "nobody"), ("t", "r1", "Payment is slow")], "session_id string, review_id string, masked string")
     spans = spark.createDataFrame([
-        ("r1", "en", 0, 3, "PERSON", "Ann"), ("r1", "en", 8, 14, "PER", "Bob Li"), ("r1", "en", 8, 11, "PER", "Bob"),
-        ("r1", "en", 19, 23, "PERSON", "Ann2"), ("r1", "en", 4, 7, "ORG", "met"),
-    ], "review_id string, model string, start int, end int, label string, text string")
-    got = {r["review_id"]: r for r in privacy.with_spans_masked(reviews, spans, ["en"]).collect()}
+        ("s", "r1", "en", 0, 3, "PERSON", "Ann"), ("s", "r1", "en", 8, 14, "PER", "Bob Li"), ("s", "r1", "en", 8, 11, "PER", "Bob"),
+        ("s", "r1", "en", 19, 23, "PERSON", "Ann2"), ("s", "r1", "en", 4, 7, "ORG", "met"),
+    ], "session_id string, review_id string, model string, start int, end int, label string, text string")
+    got = {r["review_id"]: r for r in privacy.with_spans_masked(reviews, spans, ["en"]).where("session_id = 's'").collect()}
+    other = privacy.with_spans_masked(reviews, spans, ["en"]).where("session_id = 't'").first()
+    assert other["masked"] == "Payment is slow" and other["span_hits"] == 0
     assert got["r1"]["masked"].startswith("[PERSON] met [PERSON]") and got["r1"]["span_hits"] == 2
     assert got["r2"]["masked"] == "nobody" and got["r2"]["span_hits"] == 0
 
