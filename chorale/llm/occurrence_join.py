@@ -157,13 +157,13 @@ def _by_class(h, c, df):
     keep = df > 1
     h, c, df = h[keep], c[keep], df[keep]
     order = np.argsort(c, kind="stable")
-    h, c, df = h[order], c[order], df[order]
-    first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
-    ends = pa.array(np.append(first, len(c)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c[first]), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(df.astype(np.int32)))],
-        names=["cls", "hashes", "df"],
-    )
+    h, c, df = h[order], c[order], df[order].astype(np.int32)
+    edges = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))).tolist() + [len(c)] if len(c) else [0]
+    spans = list(zip(edges, edges[1:]))
+    return pa.RecordBatch.from_arrays([
+        pa.array(c[edges[:-1]]), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+        pa.array([df[a:b].tobytes() for a, b in spans], pa.binary()),
+    ], names=["cls", "hashes", "df"])
 
 
 def _shared(batches):
@@ -195,15 +195,47 @@ def _shared(batches):
         yield done()
 
 
+def _gathered(batches):
+    """(cls, hashes): the shared shingles of a class, the rarest first; rows arrive by class."""
+    cls, hashes, df, out = None, [], [], []
+
+    def one():
+        h, d = np.concatenate(hashes), np.concatenate(df)
+        h, first = np.unique(h, return_index=True)  # a frequent shingle may come from two tasks
+        return cls, h[np.lexsort((h, d[first]))].view(np.int64)
+
+    def batch_of(rows):
+        ends = pa.array(np.cumsum([0, *(len(h) for _, h in rows)]).astype(np.int32))
+        flat = np.concatenate([h for _, h in rows])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c for c, _ in rows], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["cls", "hashes"]
+        )
+
+    for batch in batches:
+        for c, h, d in zip(batch.column("cls").to_pylist(), batch.column("hashes"), batch.column("df")):
+            if c != cls:
+                if hashes:
+                    out.append(one())
+                cls, hashes, df = c, [], []
+            hashes.append(np.frombuffer(h.as_py(), np.uint64))
+            df.append(np.frombuffer(d.as_py(), np.int32))
+        if len(out) >= 500:
+            yield batch_of(out)
+            out = []
+    if hashes:
+        out.append(one())
+    if out:
+        yield batch_of(out)
+
+
 def short_lists(dealt: DataFrame, sizes: DataFrame, least) -> DataFrame:
     """(cls, keys): classes with at least ``least(n)`` shared shingles, and those but the least(n) - 1 most frequent."""
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(_shared, "cls long, hashes array<long>, df array<int>")
-    # a frequent shingle that was passed on may come twice from a class that two tasks dealt out
-    pairs = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("df", "hashes")))))
-    lists = shared.groupBy("cls").agg(pairs.alias("pairs")).join(sizes, "cls")
+    shared = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "cls long, hashes binary, df binary")
+    lists = shared.repartition("cls").sortWithinPartitions("cls").mapInArrow(_gathered, "cls long, hashes array<long>")
     c = least(F.col("n"))
-    return lists.where(F.size("pairs") >= c).select("cls", F.slice(F.col("pairs")["hashes"], F.lit(1), (F.size("pairs") - c + 1).cast("int")).alias("keys"))
+    return lists.join(sizes, "cls").where(F.size("hashes") >= c).select(
+        "cls", F.slice("hashes", F.lit(1), (F.size("hashes") - c + 1).cast("int")).alias("keys")
+    )
 
 
 class Sets:

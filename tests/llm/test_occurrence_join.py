@@ -99,14 +99,14 @@ def test_frequent_shingles_are_passed_on(spark, monkeypatch):
     rows = near_copies(4, bases=5, copies=12)
     sets = [(i + 1, occurrence_join.shingles(t.encode())) for i, (_, t) in enumerate(rows)]
     dealt = list(occurrence_join._dealt(1, lambda _: iter(sets))(iter([])))
-    whole = {c: set(h) for b in occurrence_join._shared(iter(dealt)) for c, h in zip(b["cls"].to_pylist(), b["hashes"].to_pylist())}
+    whole = {c: set(np.frombuffer(h, np.uint64)) for b in occurrence_join._shared(iter(dealt)) for c, h in zip(b["cls"].to_pylist(), b["hashes"].to_pylist())}
     monkeypatch.setattr(occurrence_join, "PER_BUCKET", 50)
     monkeypatch.setattr(occurrence_join, "FREQUENT", 5)
     monkeypatch.setattr(occurrence_join, "TOKENS_AT_ONCE", 60)
     parts = {}
     for b in occurrence_join._shared(iter(list(occurrence_join._dealt(1, lambda _: iter(sets))(iter([]))))):
         for c, h in zip(b["cls"].to_pylist(), b["hashes"].to_pylist()):
-            parts.setdefault(c, set()).update(h)
+            parts.setdefault(c, set()).update(np.frombuffer(h, np.uint64))
     assert parts == whole
 
 
