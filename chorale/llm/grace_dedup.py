@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from chorale.llm.registry import LOWER, UPPER, parts_for, query, table, texts
 from chorale.session import settled
 
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 FANOUT = 16
 MAX_DEPTH = 12
 
