@@ -212,7 +212,7 @@ SQL_CHAR = r"""
 @query("agg_tfidf_char", sql("fb", f"WITH {SQL_CHAR}, {SQL_WEIGHTS.format('true', 2500).replace('count(*) AS tf FROM grm', 'sum(c) AS tf FROM grm')} {SQL_PER_TERM}"))
 def agg_tfidf_char(spark, d):
     docs = documents(spark, d)
-    terms = settled(features.char_terms(docs, []), "terms")
+    terms = features.char_terms(settled(features.char_words(docs, []), "words"), [])
     return per_term(terms, features.vocabulary(terms, docs, [], 2500))
 
 
