@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from chorale import schemas
 from chorale.catalog.core import query
 from chorale.catalog.gates import SQL_STATES, STATES
-from chorale.catalog.views import assignments, clusters, feedback, job_events, sql, table
+from chorale.catalog.text import SQL_FINAL_MASK
+from chorale.catalog.views import RUN_TS, SQL_SQUEEZE, assignments, clusters, feedback, job_events, sql, table
 from chorale.operators import ranking
-from chorale.plans import report
+from chorale.plans import prepare, report
 from chorale.session import work_path
 from chorale.sources import readers, writers
 
@@ -104,11 +105,17 @@ def src_session_scan(spark, d):
     return readers.session_scan(stored, "sess_2", "reviews").select("session_id", "review_id", "source", "sentiment")
 
 
-@query("snk_sanitized_jsonl", sql("asg", "SELECT session_id, review_id, language FROM asg"))
+@query("snk_sanitized_jsonl", sql("nrm", f"""
+    WITH {SQL_FINAL_MASK.strip()},
+    h AS (SELECT session_id, raw_index, review_id, language, masked, sha256({SQL_SQUEEZE.format('lower(masked)')}) AS copy FROM fin)
+    SELECT session_id, review_id, language, sha256(masked) AS text_sha256 FROM h
+    QUALIFY row_number() OVER (PARTITION BY session_id, copy ORDER BY raw_index) = 1"""))
 def snk_sanitized_jsonl(spark, d):
     path = work_path(spark, "jsonl")
-    writers.write_sanitized(assignments(spark, d), path)
-    return spark.read.schema("review_id string, language string, session_id string").json(path).select("session_id", "review_id", "language")
+    kept, _, _ = prepare.prepare(feedback(spark, d), F.lit(RUN_TS).cast("timestamp"))
+    writers.write_sanitized(kept.select("session_id", "review_id", "language", F.col("text_anonymized").alias("text")), path)
+    stored = spark.read.schema("review_id string, language string, text string, session_id string").json(path)
+    return stored.select("session_id", "review_id", "language", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("snk_replace_session", sql("asg", """

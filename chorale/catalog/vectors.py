@@ -10,6 +10,7 @@ from chorale.catalog.views import assignments, clusters, feedback, questions, sq
 from chorale.functions import values
 from chorale.functions.vectors import dot, norm
 from chorale.operators import clustering, features, similarity, themes
+from chorale.operators.attach import attach
 from chorale.session import settled
 
 SQL_UNIT = "CAST(embedding AS DOUBLE[])"
@@ -238,11 +239,16 @@ def agg_svd_projection(spark, d):
     return dense.select("doc_id", F.size("vector").alias("dimensions"), F.round(norm(F.col("vector")), 6).alias("length"))
 
 
-@query("ml_vectors_in")
+@query("ml_vectors_in", sql("fb", """
+    SELECT session_id, count(*) AS items, CASE WHEN session_id = 'sess_1' THEN 'projection' ELSE 'external' END AS embedding_backend_effective,
+      CASE WHEN session_id = 'sess_1' THEN 'tfidf-svd-projection' ELSE 'given-64' END AS embedding_model_effective,
+      CASE WHEN session_id = 'sess_1' THEN 'vectors_missing' END AS embedding_degraded_reason, count(*) AS vectors FROM fb GROUP BY ALL"""))
 def ml_vectors_in(spark, d):
     docs = feedback(spark, d).select("session_id", F.col("raw_index").alias("item_id"), "text")
-    given = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    # sess_1 comes without vectors of its own, the others keep those they have.
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    # Every document gets a vector in turn, but those of sess_1, which come without.
+    asked = attach(docs.where("session_id <> 'sess_1'"), vectors.agg(F.count("*").alias("n")), [])
+    given = asked.withColumn("vec_id", F.col("item_id") % F.col("n")).join(vectors, "vec_id").select("item_id", "vector")
     fallback = features.text_vectors(docs.withColumnRenamed("item_id", "doc_id"), [], rules.CLUSTER_STOP_WORDS, 2500, 0.88, 64)
     chosen, sources = clustering.chosen_vectors(
         docs.select("session_id", "item_id"), given, fallback.withColumnRenamed("doc_id", "item_id"), "external", "given-64"
