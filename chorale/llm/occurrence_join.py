@@ -153,85 +153,85 @@ def _counted(hashes, classes, frequent):
     return h, c, df
 
 
-def _by_class(h, c, df):
+def _by_class(h, c, df, parts):
+    """Shared shingles as rows (part, classes, hashes, df), packed by parts of the classes."""
     keep = df > 1
-    h, c, df = h[keep], c[keep], df[keep]
-    order = np.argsort(c, kind="stable")
-    h, c, df = h[order], c[order], df[order].astype(np.int32)
-    edges = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))).tolist() + [len(c)] if len(c) else [0]
+    h, c, df = h[keep], c[keep], df[keep].astype(np.int32)
+    part = ((c.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    h, c, df, part = h[order], c[order], df[order], part[order]
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() + [len(part)] if len(part) else [0]
     spans = list(zip(edges, edges[1:]))
-    return pa.RecordBatch.from_arrays([
-        pa.array(c[edges[:-1]]), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
-        pa.array([df[a:b].tobytes() for a, b in spans], pa.binary()),
-    ], names=["cls", "hashes", "df"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[edges[:-1]])] + [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (c, h, df)],
+        names=["part", "classes", "hashes", "df"],
+    )
+
+
+def _shared(parts: int):
+    """Rows (part, classes, hashes, df) of the shingles that several classes have; one bucket after the other."""
+
+    def share(batches):
+        bucket, hashes, classes, size, frequent = None, [], [], 0, np.zeros(0, np.uint64)
+
+        def done():
+            return _by_class(*_counted(np.concatenate(hashes), np.concatenate(classes), frequent), parts)
+
+        for batch in batches:
+            for b, h, c in zip(batch.column("bucket").to_pylist(), batch.column("hashes"), batch.column("classes")):
+                if b != bucket:
+                    if hashes:
+                        yield done()
+                    bucket, hashes, classes, size, frequent = b, [], [], 0, np.zeros(0, np.uint64)
+                hashes.append(np.frombuffer(h.as_py(), np.uint64))
+                classes.append(np.frombuffer(c.as_py(), np.int64))
+                size += len(hashes[-1])
+                if size > 2 * PER_BUCKET:  # hashes of very many sets must not fill the memory: pass them on
+                    h, c, df = _counted(np.concatenate(hashes), np.concatenate(classes), frequent)
+                    over = df >= FREQUENT
+                    if over.any():
+                        yield _by_class(h[over], c[over], df[over], parts)
+                        frequent = np.union1d(frequent, h[over])
+                    hashes, classes = [h[~over]], [c[~over]]
+                    size = min(len(hashes[0]), PER_BUCKET)
+        if hashes:
+            yield done()
+
+    return share
 
 
-def _shared(batches):
-    """Rows (cls, hashes, df) of the shingles that several classes have; one bucket after the other."""
-    bucket, hashes, classes, size, frequent, passed = None, [], [], 0, np.zeros(0, np.uint64), []
+def _gathered(batches):
+    """(cls, hashes): the shared shingles of a class, the rarest first; rows arrive by part of the classes."""
+    part, held = None, ([], [], [])
 
     def done():
-        got = _counted(np.concatenate(hashes), np.concatenate(classes), frequent)
-        return _by_class(*got)
+        c, h, d = (np.concatenate(x) for x in held)
+        order = np.lexsort((h, d, c))
+        c, h = c[order], h[order]
+        new = np.concatenate(([True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])))  # a frequent one may come from two tasks
+        c, h = c[new], h[new]
+        first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(c)).astype(np.int32)), pa.array(h.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(c[first]), lists], names=["cls", "hashes"])
 
     for batch in batches:
-        for b, h, c in zip(batch.column("bucket").to_pylist(), batch.column("hashes"), batch.column("classes")):
-            if b != bucket:
-                if hashes:
+        for p, c, h, d in zip(batch.column("part").to_pylist(), batch.column("classes"), batch.column("hashes"), batch.column("df")):
+            if p != part:
+                if held[0]:
                     yield done()
-                bucket, hashes, classes, size, frequent = b, [], [], 0, np.zeros(0, np.uint64)
-            hashes.append(np.frombuffer(h.as_py(), np.uint64))
-            classes.append(np.frombuffer(c.as_py(), np.int64))
-            size += len(hashes[-1])
-            if size > 2 * PER_BUCKET:  # hashes of very many sets must not fill the memory: pass them on
-                h, c, df = _counted(np.concatenate(hashes), np.concatenate(classes), frequent)
-                over = df >= FREQUENT
-                if over.any():
-                    yield _by_class(h[over], c[over], df[over])
-                    frequent = np.union1d(frequent, h[over])
-                hashes, classes = [h[~over]], [c[~over]]
-                size = min(len(hashes[0]), PER_BUCKET)
-    if hashes:
+                part, held = p, ([], [], [])
+            for into, raw, kind in zip(held, (c, h, d), (np.int64, np.uint64, np.int32)):
+                into.append(np.frombuffer(raw.as_py(), kind))
+    if held[0]:
         yield done()
 
 
-def _gathered(batches):
-    """(cls, hashes): the shared shingles of a class, the rarest first; rows arrive by class."""
-    cls, hashes, df, out = None, [], [], []
-
-    def one():
-        h, d = np.concatenate(hashes), np.concatenate(df)
-        h, first = np.unique(h, return_index=True)  # a frequent shingle may come from two tasks
-        return cls, h[np.lexsort((h, d[first]))].view(np.int64)
-
-    def batch_of(rows):
-        ends = pa.array(np.cumsum([0, *(len(h) for _, h in rows)]).astype(np.int32))
-        flat = np.concatenate([h for _, h in rows])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _ in rows], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["cls", "hashes"]
-        )
-
-    for batch in batches:
-        for c, h, d in zip(batch.column("cls").to_pylist(), batch.column("hashes"), batch.column("df")):
-            if c != cls:
-                if hashes:
-                    out.append(one())
-                cls, hashes, df = c, [], []
-            hashes.append(np.frombuffer(h.as_py(), np.uint64))
-            df.append(np.frombuffer(d.as_py(), np.int32))
-        if len(out) >= 500:
-            yield batch_of(out)
-            out = []
-    if hashes:
-        out.append(one())
-    if out:
-        yield batch_of(out)
-
-
-def short_lists(dealt: DataFrame, sizes: DataFrame, least) -> DataFrame:
+def short_lists(dealt: DataFrame, sizes: DataFrame, least, parts: int) -> DataFrame:
     """(cls, keys): classes with at least ``least(n)`` shared shingles, and those but the least(n) - 1 most frequent."""
-    shared = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "cls long, hashes binary, df binary")
-    lists = shared.repartition("cls").sortWithinPartitions("cls").mapInArrow(_gathered, "cls long, hashes array<long>")
+    shared = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _shared(parts), "part int, classes binary, hashes binary, df binary"
+    )
+    lists = shared.repartition("part").sortWithinPartitions("part").mapInArrow(_gathered, "cls long, hashes array<long>")
     c = least(F.col("n"))
     return lists.join(sizes, "cls").where(F.size("hashes") >= c).select(
         "cls", F.slice("hashes", F.lit(1), (F.size("hashes") - c + 1).cast("int")).alias("keys")
@@ -343,19 +343,19 @@ def joined(docs: DataFrame, percent: int = PERCENT, block_tokens: int = BLOCK_TO
         return F.floor((n * percent + 99) / 100).cast("int")
 
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = parts_for(0.3 * total, PER_BUCKET)
     first = short_lists(
-        source.mapInArrow(_dealt(parts_for(0.3 * total, PER_BUCKET), _prefixes), "bucket int, hashes binary, classes binary"),
-        sizes, lambda n: F.floor(t(n) / 10).cast("int") + 1,
+        source.mapInArrow(_dealt(parts, _prefixes), "bucket int, hashes binary, classes binary"),
+        sizes, lambda n: F.floor(t(n) / 10).cast("int") + 1, parts,
     ).select("cls")
     first = settled(classes.join(first, "cls", "left_semi"), "shingle-first")
     chosen = first.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "sig", "cls", "n")
     near = source.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))).select("sig", "cls", "n", "content")
     near = settled(near.mapInArrow(_tokens, "sig binary, cls long, n long, tokens binary").dropDuplicates(["sig"]), "shingle-near")
     some = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keys = settled(
-        short_lists(near.select("cls", "tokens").mapInArrow(_dealt(parts_for(some, PER_BUCKET), _whole_sets), "bucket int, hashes binary, classes binary"), sizes, t),
-        "shingle-keys",
-    )
+    parts = parts_for(some, PER_BUCKET)
+    dealt = near.select("cls", "tokens").mapInArrow(_dealt(parts, _whole_sets), "bucket int, hashes binary, classes binary")
+    keys = settled(short_lists(dealt, sizes, t, parts), "shingle-keys")
     lists = keys.select("cls", F.explode("keys").alias("key"))
     least = lists.groupBy("key").agg(F.min("cls").alias("v"))
     loose = components(settled(lists.join(least, "key").where("cls <> v").select(F.col("cls").alias("u"), "v").distinct(), "shingle-loose"))

@@ -99,14 +99,18 @@ def test_frequent_shingles_are_passed_on(spark, monkeypatch):
     rows = near_copies(4, bases=5, copies=12)
     sets = [(i + 1, occurrence_join.shingles(t.encode())) for i, (_, t) in enumerate(rows)]
     dealt = list(occurrence_join._dealt(1, lambda _: iter(sets))(iter([])))
-    whole = {c: set(np.frombuffer(h, np.uint64)) for b in occurrence_join._shared(iter(dealt)) for c, h in zip(b["cls"].to_pylist(), b["hashes"].to_pylist())}
+    def found(batches):
+        return {c: list(h) for b in occurrence_join._gathered(batches) for c, h in zip(b["cls"].to_pylist(), b["hashes"].to_pylist())}
+
+    def by_part(batches):
+        return iter(sorted((b.slice(i, 1) for b in batches for i in range(b.num_rows)), key=lambda r: r["part"][0].as_py()))
+
+    whole = found(by_part(occurrence_join._shared(3)(iter(dealt))))
     monkeypatch.setattr(occurrence_join, "PER_BUCKET", 50)
     monkeypatch.setattr(occurrence_join, "FREQUENT", 5)
     monkeypatch.setattr(occurrence_join, "TOKENS_AT_ONCE", 60)
-    parts = {}
-    for b in occurrence_join._shared(iter(list(occurrence_join._dealt(1, lambda _: iter(sets))(iter([]))))):
-        for c, h in zip(b["cls"].to_pylist(), b["hashes"].to_pylist()):
-            parts.setdefault(c, set()).update(np.frombuffer(h, np.uint64))
+    parts = found(by_part(occurrence_join._shared(3)(iter(list(occurrence_join._dealt(1, lambda _: iter(sets))(iter([])))))))
+    parts, whole = ({c: set(h) for c, h in x.items()} for x in (parts, whole))
     assert parts == whole
 
 
