@@ -30,7 +30,7 @@ def sweep(points: DataFrame, max_k: int = 8, seed: int = 42) -> tuple[DataFrame,
     ``points``: item_id, vector. Returns (points with ``label``, attempts). The driver loop runs
     over at most six values of k; everything inside is distributed.
     """
-    data = points.withColumn("features", array_to_vector("vector")).persist()
+    data = settled(points, "sweep").withColumn("features", array_to_vector("vector"))
     n = data.count()
     best, attempts, quality = data.withColumn("label", F.lit(0)), [], 0.0
     for k in range(3, min(max_k, max(2, n // 3)) + 1):
