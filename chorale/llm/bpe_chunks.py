@@ -32,7 +32,7 @@ from chorale.llm.registry import query, table, texts
 
 CHUNK_BITS = 10
 LONGEST_CHUNK = 16 << CHUNK_BITS
-WORDS_HELD, CHUNKS_HELD = 200_000, 4_000
+WORDS_HELD, CHUNKS_HELD, JOINS_HELD = 160_000, 4_000, 20_000
 ROWS_AT_ONCE = 256
 BLANKS = re.compile("[ \t\n\r\f\v]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -110,7 +110,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
-        self.words, self.chunks, self.joins = Generations(WORDS_HELD), Generations(CHUNKS_HELD), Generations(WORDS_HELD)
+        self.words, self.chunks, self.joins = Generations(WORDS_HELD), Generations(CHUNKS_HELD), Generations(JOINS_HELD)
         self.encoded_bytes = 0
 
     def _library(self, pieces: list[str]) -> list[tuple[bytes, str]]:
