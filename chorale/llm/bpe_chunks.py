@@ -32,7 +32,7 @@ from chorale.llm.registry import query, table, texts
 
 CHUNK_BITS = 10
 LONGEST_CHUNK = 16 << CHUNK_BITS
-WORDS_HELD, CHUNKS_HELD, JOINS_HELD = 160_000, 4_000, 20_000
+WORDS_HELD, CHUNKS_HELD, JOINS_HELD = 100_000, 2_000, 10_000
 ROWS_AT_ONCE = 256
 BLANKS = re.compile("[ \t\n\r\f\v]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)

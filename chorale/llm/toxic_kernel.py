@@ -131,13 +131,18 @@ def vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fitted(words: list[str], y: np.ndarray, importance: np.ndarray, landmarks: list[int], penalty: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights of all subsequences, and bias, of a squared-hinge SVM on Nystroem features."""
     row, code, value = vectors(words)
-    marks = np.zeros((2**18, len(landmarks)), np.float32)
-    place = {w: k for k, w in enumerate(landmarks)}
-    for r, k in place.items():
-        np.add.at(marks, (code[row == r], k), value[row == r])
+    mine = np.isin(row, landmarks)
+    used = np.unique(code[mine])  # the subsequences of the landmarks: a few thousand
+    place = np.full(2**18, -1, np.int32)
+    place[used] = np.arange(len(used))
+    column = {w: k for k, w in enumerate(landmarks)}
+    marks = np.zeros((len(used), len(landmarks)))
+    np.add.at(marks, (place[code[mine]], [column[r] for r in row[mine].tolist()]), value[mine])
     kernel = np.zeros((len(words), len(landmarks)))
-    hit = marks.any(axis=1)[code]
-    np.add.at(kernel, row[hit], marks[code[hit]] * value[hit, None])
+    hits = np.flatnonzero(place[code] >= 0)
+    for at in range(0, len(hits), 20_000):  # a slice at a time bounds the driver's memory
+        h = hits[at : at + 20_000]
+        np.add.at(kernel, row[h], marks[place[code[h]]] * value[h, None])
     among = kernel[landmarks]
     lam, u = np.linalg.eigh((among + among.T) / 2)
     keep = lam > 1e-6 * lam.max()
@@ -153,7 +158,9 @@ def fitted(words: list[str], y: np.ndarray, importance: np.ndarray, landmarks: l
         if np.allclose(after, w, atol=1e-9):
             break
         w = after
-    return (marks @ (root @ w[:-1])).astype(np.float64), float(w[-1])
+    weights = np.zeros(2**18)
+    weights[used] = marks @ (root @ w[:-1])
+    return weights, float(w[-1])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
