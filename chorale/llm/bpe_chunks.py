@@ -8,9 +8,9 @@ is re-encoded together with the last word before and the first word after it: if
 words come out as the chunks hold them, the join is exact; if not, the window has to widen, and the
 whole text is encoded in one piece. A chunk without inner words makes the window run into the next.
 
-Stores live in the Python worker and outlast its tasks: two generations of bounded size, so memory does
-not grow with the input, no text is shuffled, and a lost worker simply starts with empty stores. A
-chunk that several workers meet is encoded once in each of them.
+Stores live in the task: two generations of bounded size, so memory does not grow with the input and is
+free again for the next operator, no text is shuffled, and a lost task simply starts again. A chunk
+that several tasks meet is encoded once in each of them.
 
 Defined results: null or empty text has no tokens and decodes to the empty text. Only ASCII blanks
 count as blanks; any other space is left to the tokenizer. Special tokens written in a text become
@@ -32,7 +32,7 @@ from chorale.llm.registry import query, table, texts
 
 CHUNK_BITS = 10
 LONGEST_CHUNK = 16 << CHUNK_BITS
-WORDS_HELD, CHUNKS_HELD, JOINS_HELD = 100_000, 2_000, 10_000
+WORDS_HELD, CHUNKS_HELD, JOINS_HELD = 120_000, 3_000, 20_000
 ROWS_AT_ONCE = 256
 BLANKS = re.compile("[ \t\n\r\f\v]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -187,18 +187,12 @@ class Codec:
         return whole, " ".join([p for p in decoded if p])
 
 
-@cache
-def codec_of(path: str) -> Codec:
-    """The codec of this Python worker, with its stores."""
-    return Codec(path)
-
-
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, decoded of every row of ``docs``; ``path`` names a tokenizer file all executors have."""
     path = path or default_path()
 
     def scan(batches):
-        codec = codec_of(path)
+        codec = Codec(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
