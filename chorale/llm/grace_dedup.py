@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm.registry import LOWER, UPPER, parts_for, query, table, texts
+from chorale.llm.registry import LOWER, UPPER, packed, parts_for, query, table, texts
 from chorale.session import settled
 
 TABLE_BYTES = 24 << 20
@@ -186,7 +186,7 @@ def bucketed(records: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
 def grouped(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of ``docs``."""
-    rows = settled(
+    rows = packed(
         texts(docs).select("doc_id", F.col("text").cast("binary").alias("content")).mapInArrow(
             _records(table_bytes),
             "doc_id long, row_no long, record long, content binary, hash long, digest binary, top_id long, top_row long, copies long",

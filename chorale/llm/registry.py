@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chorale.session import work_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +41,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def packed(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, like ``settled``, for tables that hold texts."""
+    path = work_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parts_for(n: float, per_part: float) -> int:
     """How many parts of about ``per_part`` hold ``n``; grows with the data, one at least."""
     return max(1, math.ceil(n / per_part))
