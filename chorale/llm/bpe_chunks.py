@@ -20,7 +20,6 @@ their ids, as in the library. Repeated rows are encoded alike; a null doc_id is
 from __future__ import annotations
 
 import os
-import re
 from functools import cache
 
 import numpy as np
@@ -34,7 +33,6 @@ CHUNK_BITS = 10
 LONGEST_CHUNK = 16 << CHUNK_BITS
 WORDS_HELD, CHUNKS_HELD, JOINS_HELD = 120_000, 3_000, 20_000
 ROWS_AT_ONCE = 256
-BLANKS = re.compile("[ \t\n\r\f\v]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,12 +116,12 @@ class Codec:
         ids = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
         return [(np.array(i, np.int32).tobytes(), d) for i, d in zip(ids, self.tok.decode_batch(ids, skip_special_tokens=False))]
 
-    def _word_parts(self, words: list[str]) -> list[tuple[bytes, str]]:
+    def _word_parts(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         young, get = self.words.young.get, self.words.get
         parts = [young(w) or get(w) for w in words]
         if None in parts:
             new = dict.fromkeys(w for w, p in zip(words, parts) if p is None)
-            for w, p in zip(new, self._library(list(new))):
+            for w, p in zip(new, self._library([w.decode() for w in new])):
                 self.words.put(w, p)
                 new[w] = p
             parts = [p or new[w] for w, p in zip(words, parts)]
@@ -133,14 +131,16 @@ class Codec:
         """(head, first, ids, decoded, last, tail) or, without inner words, the text alone."""
         got = self.chunks.get(raw)
         if got is None:
-            words = BLANKS.split(raw.decode())
-            if len(words) < 3:
+            words = raw.split()  # of bytes: at ASCII blanks alone
+            head = words.pop(0).decode() if words and not raw[:1].isspace() else ""
+            tail = words.pop().decode() if words and not raw[-1:].isspace() else ""
+            if not words:
                 got = (raw.decode(),)
             else:
-                inner = self._word_parts(words[1:-1])
+                inner = self._word_parts(words)
                 got = (
-                    words[0], (words[1], inner[0][0]), b"".join([p[0] for p in inner]), " ".join([p[1] for p in inner if p[1]]),
-                    (words[-2], inner[-1][0]), words[-1],
+                    head, (words[0].decode(), inner[0][0]), b"".join([p[0] for p in inner]), " ".join([p[1] for p in inner if p[1]]),
+                    (words[-1].decode(), inner[-1][0]), tail,
                 )
             self.chunks.put(raw, got)
         return got
