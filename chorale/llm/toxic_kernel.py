@@ -11,11 +11,13 @@ of doc_id. Their sentences are cut into words; a word's label comes from the doc
 in, where all documents with the same rarest-hash word (near copies) count as one. The machine is a
 squared-hinge SVM on the Nystroem features of the landmarks. As kernel and features are linear in
 subsequences, the fitted machine is one weight a subsequence: a table of 2**18 floats. Scoring sums
-those weights over every word of every whole text, in numpy; a document's score is a logistic
-function of its two highest words, fitted on the sample.
+those weights over every word of every whole text, in numpy; a document's score is a logistic function,
+fitted on the sample, of the values above the machine's boundary as shares of all words, with and
+without the highest one, and of the logarithm of the number of words. So a few chance hits weigh less
+the longer a text is.
 
-Defined results: null or empty text, and text without letters, get the score of the least toxic word
-(not toxic). Labels without doc_id or value are ignored; of several labels of a doc_id the largest
+Defined results: null or empty text, and text without letters, get the score of a text of one word
+below the boundary. Labels without doc_id or value are ignored; of several labels of a doc_id the largest
 holds. If a class is missing from the sample, every score is the share of label 1, or 0 without
 labels. Repeated rows get equal scores. A null doc_id is never held out and never trained on.
 """
@@ -176,13 +178,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def heights(text: str, weights: np.ndarray, bias: float) -> tuple[float, float]:
-    """The two highest word values of a text."""
+def measures(text: str, weights: np.ndarray, bias: float) -> tuple[float, float, float]:
+    """What a document's score reads of its words: share above the boundary, the same without the highest word, length.
+
+    The second share keeps one chance hit from deciding.
+    """
     v = word_scores(text, weights, bias)
-    if len(v) < 2:
-        return (max(float(v[0]), FLOOR) if len(v) else FLOOR), FLOOR
-    top = np.partition(v, len(v) - 2)[-2:]
-    return max(float(top[1]), FLOOR), max(float(top[0]), FLOOR)
+    n = max(len(v), 1)
+    above = np.maximum(v, 0.0)
+    total = float(above.sum())
+    rest = max(total - float(above.max(initial=0.0)), 0.0)
+    return float(np.log1p(100 * total / n)), float(np.log1p(100 * rest / n)), float(np.log(n))
 
 
 def _distinct_words(batches):
@@ -226,8 +232,8 @@ class Machine:
     def score(self, text: str) -> float:
         if self.weights is None:
             return self.prior
-        a, b = heights(text, self.weights, self.bias)
-        return float(1 / (1 + np.exp(-np.clip(self.scale[0] * a + self.scale[1] * b + self.scale[2], -30, 30))))
+        margin = np.dot(self.scale[:-1], measures(text, self.weights, self.bias)) + self.scale[-1]
+        return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
 def trained(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = PER_CLASS) -> Machine:
@@ -272,16 +278,15 @@ def trained(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0,
     hard = [(r.word, 1 + r.clean) for r in near.orderBy(F.desc("value"), "word").limit(HARD).collect() if r.word not in known]
     weights, bias = fitted(*_problem(insults, list(dict(clean + hard).items()), [w for w, _ in hard]))
 
-    def high(batches):
+    names = ["share", "rest", "length"]
+
+    def measured(batches):
         for batch in batches:
-            got = [heights(t.as_py(), weights, bias) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([a for a, _ in got], pa.float64()), pa.array([b for _, b in got], pa.float64())],
-                names=["label", "a", "b"],
-            )
-
-    levels = sample.mapInArrow(high, "label int, a double, b double").toPandas()  # bounded as the sample is
-    scale = logistic(levels[["a", "b"]].to_numpy(), levels["label"].to_numpy(np.float64))
+            got = np.array([measures(t.as_py(), weights, bias) for t in batch.column("text")]).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c, pa.float64()) for c in got.T)], names=["label", *names])
+
+    levels = sample.mapInArrow(measured, "label int, share double, rest double, length double").toPandas()  # bounded as the sample is
+    scale = logistic(levels[names].to_numpy(), levels["label"].to_numpy(np.float64))
     return Machine(weights, bias, scale, 0.0)
 
 

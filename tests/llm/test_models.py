@@ -87,6 +87,25 @@ def test_gapped_and_inserted_insults_are_found(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in toxic_kernel.scored(docs, frame).collect() if not r.predicted}
 
 
+def test_long_clean_documents_outlive_chance_hits(spark):
+    rows, labels = insults()
+    rng = np.random.default_rng(5)
+    plain = " ".join(text for (_, text), (_, toxic) in zip(rows, labels) if not toxic).split()
+
+    def long(n, marked):
+        words = [str(w) for w in rng.choice(plain, n)]
+        for at in rng.choice(n, marked, replace=False):
+            words[at] = str(rng.choice(["grumpwit", "blockhead", "numbskull"]))
+        return " ".join(words)
+
+    clean = [(30_000 + i, long(n, marked)) for i, (n, marked) in enumerate([(2_000, 2), (2_000, 3), (5_000, 3), (20_000, 3)])]
+    toxic = [(40_000 + i, long(n, n // 20)) for i, n in enumerate([40, 2_000, 5_000, 20_000])]
+    docs = documents(spark, rows + clean + toxic)
+    got = {r.doc_id: r for r in toxic_kernel.scored(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[d].predicted for d, _ in clean] == [0] * len(clean), [got[d].score for d, _ in clean]
+    assert [got[d].predicted for d, _ in toxic] == [1] * len(toxic), [got[d].score for d, _ in toxic]
+
+
 def test_statistics_have_fixed_length():
     for _, text in EDGES:
         row = quality_trees.statistics(text or "")
