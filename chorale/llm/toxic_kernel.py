@@ -210,8 +210,31 @@ def _distinct_words(batches):
         )
 
 
+def spread(words: list[str], weight: np.ndarray, k: int) -> list[int]:
+    """Up to ``k`` of the words, each the one whose kernel vector the chosen ones explain least, times its weight.
+
+    A pivoted Cholesky decomposition of the words' kernel: forms of one family leave little of each other.
+    """
+    row, code, value = vectors(words)
+    pair, at = np.unique(row * 2**18 + code, return_inverse=True)  # a code may stand in a word more than once
+    left = np.bincount(pair >> 18, np.bincount(at, value) ** 2, len(words))
+    columns, chosen = np.zeros((len(words), 0)), []
+    for _ in range(min(k, len(words))):
+        best = int(np.argmax(left * weight))
+        if left[best] < 1e-6:
+            break
+        chosen.append(best)
+        mine = row == best
+        dense = np.bincount(code[mine], value[mine], 2**18)
+        column = (np.bincount(row, value * dense[code], len(words)) - columns @ columns[best]) / np.sqrt(left[best])
+        columns = np.hstack([columns, column[:, None]])
+        left = np.maximum(left - column * column, 0.0)
+        left[best] = 0.0
+    return chosen
+
+
 def _problem(insults: list[tuple[str, int]], clean: list[tuple[str, int]], hard: list[str] = ()):
-    """Words, their classes and weights, and which of them are landmarks: insults, hard words, frequent words."""
+    """Words, their classes and weights, and which of them are landmarks: insults spread over families, hard words, frequent words."""
     words = [w for w, _ in insults + clean]
     y = np.array([1.0] * len(insults) + [-1.0] * len(clean))
     importance = np.sqrt(np.array([n for _, n in insults + clean], np.float64))
@@ -219,7 +242,7 @@ def _problem(insults: list[tuple[str, int]], clean: list[tuple[str, int]], hard:
     for label in (1, -1):
         importance[y == label] /= importance[y == label].sum()
     place = {w: i for i, w in enumerate(words)}
-    landmarks = list(range(min(len(insults), LANDMARKS // 2)))
+    landmarks = spread([w for w, _ in insults], np.sqrt(np.array([n for _, n in insults], np.float64)), LANDMARKS // 2)
     rest = [place[w] for w in hard[: LANDMARKS // 4]] + list(range(len(insults), len(words)))
     landmarks += list(dict.fromkeys(rest))[: LANDMARKS - len(landmarks)]
     return words, y, importance, landmarks

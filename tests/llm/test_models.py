@@ -106,6 +106,15 @@ def test_long_clean_documents_outlive_chance_hits(spark):
     assert [got[d].predicted for d, _ in toxic] == [1] * len(toxic), [got[d].score for d, _ in toxic]
 
 
+def test_landmarks_reach_a_rare_family():
+    common = [(f"grumpwit{x}{y}", 100) for x in "abcdefghij" for y in "klmnopqrs"]  # more forms than landmarks
+    rare = [("zebufol", 9), ("zebufola", 8)]
+    words, y, _, landmarks = toxic_kernel._problem(common + rare, [(f"plain{i}word", 50) for i in range(400)])
+    chosen = [words[i] for i in landmarks]
+    assert len(set(landmarks)) == len(landmarks) <= toxic_kernel.LANDMARKS and set(y[landmarks]) == {1, -1}
+    assert {"zebufol", "zebufola"} & set(chosen)
+
+
 def test_statistics_have_fixed_length():
     for _, text in EDGES:
         row = quality_trees.statistics(text or "")
