@@ -51,3 +51,15 @@ def packed(df: DataFrame, label: str) -> DataFrame:
 def parts_for(n: float, per_part: float) -> int:
     """How many parts of about ``per_part`` hold ``n``; grows with the data, one at least."""
     return max(1, math.ceil(n / per_part))
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, n: int, share: int = 1_000) -> DataFrame:
+    """``rows`` joined with the one row a key of ``keyed``, whose ``times`` counts the key in ``rows``; n: rows of ``rows``.
+
+    Keys with more than one in ``share`` rows are fewer than ``share`` by pigeonhole and are broadcast; the rows
+    of the others are shuffled, and no key of theirs is hot.
+    """
+    hot = F.col("times") * share > n
+    much = F.broadcast(keyed.where(hot))
+    few = rows.join(much.select(key), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(much, key).unionByName(few)
