@@ -8,8 +8,11 @@ from chorale.llm import (  # noqa: F401
     quality_trees,
     secret_grammar,
     shard_balance,
+    sketch_join,
     toxic_kernel,
+    turn_repair,
     url_automaton,
+    whitening,
     window_dedup,
 )
 from chorale.llm.registry import ORACLES, QUERIES
