@@ -9,8 +9,9 @@ from chorale.catalog.core import query
 from chorale.catalog.views import assignments, clusters, feedback, questions, sql, sql_in, table
 from chorale.functions import values
 from chorale.functions.vectors import dot, norm
-from chorale.operators import clustering, features, similarity, themes
+from chorale.operators import clustering, density, features, similarity, sweep, themes
 from chorale.operators.attach import attach
+from chorale.plans import clusters as plan
 from chorale.session import settled
 
 SQL_UNIT = "CAST(embedding AS DOUBLE[])"
@@ -105,34 +106,6 @@ def ml_weak_signal(spark, d):
     return clusters(spark, d).select(*themes.KEYS, themes.is_weak(F.col("cluster_id"), F.col("size"), 37).alias("weak"))
 
 
-SQL_ATTEMPTS = """
-    att AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY size DESC, cluster_id) AS ord,
-      CASE WHEN cluster_id IN ('theme_0', 'theme_1', 'theme_2') THEN 'density' ELSE 'sweep' END AS backend, cluster_id AS profile_name,
-      CASE WHEN session_id = 'sess_3' THEN -0.1 ELSE round(sentiment_score * 2.5, 2) END AS quality_score, size % 25 AS cluster_count FROM clu)"""
-
-
-@query("ml_profile_select", sql("clu", f"""WITH {SQL_ATTEMPTS},
-    stp AS (SELECT session_id, min(ord) AS s FROM att WHERE backend = 'density' AND quality_score >= 0.35 AND cluster_count <= 20 GROUP BY ALL),
-    tri AS (SELECT a.* FROM att a LEFT JOIN stp USING (session_id) WHERE backend = 'sweep' OR s IS NULL OR ord <= s)
-    SELECT session_id, count(*) OVER w AS attempt_count, CASE WHEN quality_score > 0 THEN backend ELSE 'single' END AS backend,
-      CASE WHEN quality_score > 0 THEN profile_name ELSE 'one_cluster' END AS profile_name, CASE WHEN quality_score > 0 THEN quality_score ELSE 0.0 END AS quality_score,
-      CASE WHEN quality_score > 0 THEN cluster_count ELSE 1 END AS cluster_count, quality_score >= 0.35 AS quality_gate_passed
-    FROM tri WINDOW w AS (PARTITION BY session_id)
-    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY quality_score DESC, backend = 'density' DESC, cluster_count, profile_name DESC) = 1"""))
-def ml_profile_select(spark, d):
-    from pyspark.sql import Window
-
-    ord_ = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("size").desc(), "cluster_id"))
-    attempts = clusters(spark, d).select(
-        "session_id", ord_.alias("ord"),
-        F.when(F.col("cluster_id").isin("theme_0", "theme_1", "theme_2"), "density").otherwise("sweep").alias("backend"),
-        F.col("cluster_id").alias("profile_name"),
-        F.when(F.col("session_id") == "sess_3", -0.1).otherwise(F.round(F.col("sentiment_score") * 2.5, 2)).alias("quality_score"),
-        (F.col("size") % 25).alias("cluster_count"),
-    )
-    return clustering.selected_profile(attempts)
-
-
 @query("ml_degraded_mode", """
     SELECT *, reviews < 5 OR quality_score < 0.03 OR reviews < 30 AS degraded_mode FROM (
       SELECT session_id, reviews, CASE WHEN reviews < 5 THEN 0.0 ELSE q END AS quality_score, reviews < 5 AS one_cluster, reviews < 30 AS low_data_mode
@@ -144,28 +117,109 @@ def ml_degraded_mode(spark, d):
     return clustering.run_mode(sessions)
 
 
-@query("ml_cluster_sweep")
-def ml_cluster_sweep(spark, d):
-    labelled, attempts = clustering.sweep(vectors(spark, d).select("item_id", "vector"))
-    best = max(attempts, key=lambda a: a["quality_score"])
-    return labelled.groupBy("label").agg(F.count("*").alias("size")).withColumn("profile_name", F.lit(best["profile_name"]))
+EPS, MAX_K = 1.13, 8
+
+#: Density labels of every profile (session_id, ord, samples, size) of ``prof``.
+SQL_DENSITY = f"""
+    near AS MATERIALIZED (SELECT session_id, a.item_id AS a, b.item_id AS b, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b USING (session_id)
+      WHERE a.item_id <> b.item_id AND list_distance(a.v, b.v) <= {EPS}),
+    core AS (SELECT ord, a FROM near JOIN prof USING (session_id) GROUP BY ord, a, samples HAVING count(*) >= samples),
+    reach AS (SELECT ord, a, a AS r FROM core UNION SELECT reach.ord, n.b, reach.r FROM reach JOIN near n ON n.a = reach.a JOIN core ON core.ord = reach.ord AND core.a = n.b),
+    comp AS (SELECT ord, a, min(r) AS c FROM reach GROUP BY ALL),
+    edge AS (SELECT comp.ord, n.a, arg_min(comp.c, (n.d, n.b)) AS c FROM near n JOIN comp ON n.b = comp.a ANTI JOIN core ON core.ord = comp.ord AND core.a = n.a GROUP BY ALL),
+    mem AS (SELECT session_id, m.* FROM (SELECT * FROM comp UNION ALL SELECT * FROM edge) m JOIN vec ON vec.item_id = m.a),
+    big AS (SELECT session_id, ord, c, row_number() OVER (PARTITION BY session_id, ord ORDER BY count(*) DESC, min(a)) - 1 AS label
+      FROM mem JOIN prof USING (session_id, ord) GROUP BY session_id, ord, c, size HAVING count(*) >= size),
+    lab AS MATERIALIZED (SELECT session_id, prof.ord, item_id, CAST(coalesce(big.label, -1) AS INT) AS label FROM vec JOIN prof USING (session_id)
+      LEFT JOIN mem ON mem.ord = prof.ord AND mem.a = item_id LEFT JOIN big ON big.session_id = vec.session_id AND big.ord = mem.ord AND big.c = mem.c)"""
+SQL_VEC = f"vec AS MATERIALIZED (SELECT 'sess_' || CAST(label % 2 AS VARCHAR) AS session_id, vec_id AS item_id, {SQL_UNIT} AS v FROM embeddings)"
 
 
-EPS = 1.13
+def points(spark, d):
+    return vectors(spark, d).select("session_id", "item_id", "vector")
 
 
-@query("ml_density_clusters", f"""
-    WITH RECURSIVE vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= {EPS}),
-    core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 2),
-    reach AS (SELECT a, a AS r FROM core UNION SELECT n.b, reach.r FROM reach JOIN near n ON n.a = reach.a WHERE n.b IN (SELECT a FROM core)),
-    comp AS (SELECT a, min(r) AS c FROM reach GROUP BY a),
-    edge AS (SELECT n.a, arg_min(comp.c, (n.d, n.b)) AS c FROM near n JOIN comp ON n.b = comp.a WHERE n.a NOT IN (SELECT a FROM core) GROUP BY n.a),
-    mem AS (SELECT * FROM comp UNION ALL SELECT * FROM edge),
-    big AS (SELECT c FROM mem GROUP BY c HAVING count(*) >= 5)
-    SELECT vec_id AS item_id, CASE WHEN mem.c IN (SELECT c FROM big) THEN mem.c ELSE -1 END AS label FROM vec LEFT JOIN mem ON vec.vec_id = mem.a""")
+@query("ml_density_clusters", f"""WITH RECURSIVE {SQL_VEC}, prof AS (SELECT DISTINCT session_id, 1 AS ord, {rules.MIN_SAMPLES} AS samples, {rules.MIN_CLUSTER_SIZE} AS size FROM vec),
+    {SQL_DENSITY} SELECT session_id, item_id, label FROM lab""")
 def ml_density_clusters(spark, d):
-    return clustering.density_clusters(vectors(spark, d).select("item_id", "vector"), EPS, tile_rows=256)
+    rows = points(spark, d)
+    return density.density_clusters(rows, density.settings(rows, EPS))
+
+
+def sql_sweep(rounds: int = sweep.ROUNDS) -> str:
+    """k-means from a farthest-first start: ``att`` has the attempts, ``swp`` the clusters."""
+    square = "round(pow(list_distance(v, centre), 2), 9)"
+
+    def means(rows, by):
+        return f"""SELECT {by}, list(m ORDER BY i) AS centre FROM (SELECT {by}, i, avg(x) AS m FROM
+      (SELECT {by}, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {rows}) GROUP BY ALL) GROUP BY ALL"""
+
+    out = [
+        f"mid AS ({means('vec', 'session_id')})",
+        f"s0 AS MATERIALIZED (SELECT session_id, 0 AS c, arg_min(v, ({square}, item_id)) AS centre FROM vec JOIN mid USING (session_id) GROUP BY ALL)",
+    ]
+    for n in range(1, MAX_K):
+        out.append(f"""s{n} AS MATERIALIZED (SELECT * FROM s{n - 1} UNION ALL SELECT session_id, {n}, arg_min(v, (-far, item_id)) FROM
+      (SELECT session_id, item_id, v, min({square}) AS far FROM vec JOIN s{n - 1} USING (session_id) GROUP BY ALL) GROUP BY ALL)""")
+    out.append(f"""c0 AS MATERIALIZED (SELECT session_id, k, c, centre FROM s{MAX_K - 1}
+      JOIN (SELECT session_id, unnest(generate_series(3, most)) AS k FROM (SELECT session_id, least({MAX_K}, greatest(2, count(*) // 3)) AS most FROM vec GROUP BY ALL))
+      USING (session_id) WHERE c < k)""")
+    near = "SELECT session_id, k, item_id, v, arg_min(c, (list_distance(v, centre), c)) AS c FROM vec JOIN c{} USING (session_id) GROUP BY ALL"
+    for r in range(1, rounds + 1):
+        out.append(f"m{r} AS ({means('(' + near.format(r - 1) + ')', 'session_id, k, c')})")
+        out.append(f"c{r} AS MATERIALIZED (SELECT session_id, k, c, coalesce(m.centre, p.centre) AS centre FROM c{r - 1} p LEFT JOIN m{r} m USING (session_id, k, c))")
+    out.append(f"""asn AS MATERIALIZED ({near.format(rounds)}),
+    pth AS MATERIALIZED (SELECT session_id, a.item_id AS a, b.item_id AS b, pow(list_distance(a.v, b.v), 2) AS d FROM vec a JOIN vec b USING (session_id) WHERE a.item_id <> b.item_id),
+    gap AS (SELECT session_id, x.k, x.item_id, x.c AS own, y.c, avg(d) AS d FROM pth JOIN asn x USING (session_id) JOIN asn y USING (session_id, k) WHERE x.item_id = a AND y.item_id = b GROUP BY ALL),
+    shd AS (SELECT session_id, k, item_id, max(d) FILTER (c = own) AS a, min(d) FILTER (c <> own) AS b FROM gap GROUP BY ALL),
+    swp AS MATERIALIZED (SELECT session_id, k, c, count(*) AS size, sum(pow(list_distance(v, centre), 2)) AS inertia FROM asn JOIN c{rounds} USING (session_id, k, c) GROUP BY ALL),
+    qlt AS (SELECT session_id, k, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS q FROM shd GROUP BY ALL),
+    att AS MATERIALIZED (SELECT *, q > 0 AND row_number() OVER (PARTITION BY session_id ORDER BY q DESC, k) = 1 AS chosen FROM qlt JOIN (SELECT session_id, k, count(*) AS n FROM swp GROUP BY ALL) USING (session_id, k))""")
+    return ",\n    ".join(out)
+
+
+@query("ml_cluster_sweep", f"""WITH {SQL_VEC}, {sql_sweep()}
+    SELECT session_id, CAST(k AS INT) AS k, CAST(c AS INT) AS label, size, round(inertia, 6) AS inertia, round(q, 6) AS quality_score, chosen, k = {MAX_K} AS at_limit
+    FROM swp JOIN att USING (session_id, k)""")
+def ml_cluster_sweep(spark, d):
+    _, attempts, found = sweep.sweep(points(spark, d), MAX_K)
+    return found.join(attempts.select("session_id", "k", "quality_score", "chosen", "at_limit"), ["session_id", "k"]).select(
+        "session_id", "k", F.col("c").alias("label"), "size", F.round("inertia", 6).alias("inertia"), F.round("quality_score", 6).alias("quality_score"), "chosen", "at_limit",
+    )
+
+
+SQL_PROFILES = f"""
+    cnt AS (SELECT session_id, count(*) AS n, least({rules.MIN_CLUSTER_SIZE}, greatest(2, count(*) // 4)) AS size, least({rules.MIN_SAMPLES}, greatest(1, count(*) // 6)) AS samples FROM vec GROUP BY ALL),
+    prof AS (SELECT session_id, 1 AS ord, 'density_default' AS name, size, samples FROM cnt UNION ALL SELECT session_id, 2, 'density_smaller_clusters', greatest(2, size - 1), samples FROM cnt
+      UNION ALL SELECT session_id, 3, 'density_more_stable', least(greatest(2, n - 1), size + 1), least(greatest(1, n - 2), samples + 1) FROM cnt),
+    {SQL_DENSITY},
+    {sql_sweep()},
+    dgp AS (SELECT session_id, x.ord, x.item_id, x.label AS own, y.label, avg(d) AS d FROM pth JOIN lab x USING (session_id) JOIN lab y USING (session_id, ord)
+      WHERE x.item_id = a AND y.item_id = b AND x.label >= 0 AND y.label >= 0 GROUP BY ALL),
+    dsh AS (SELECT session_id, ord, item_id, max(d) FILTER (label = own) AS a, min(d) FILTER (label <> own) AS b FROM dgp GROUP BY ALL),
+    dql AS (SELECT session_id, ord, CASE WHEN count(*) < 3 OR bool_or(b IS NULL) THEN 0 ELSE avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) END AS q FROM dsh GROUP BY ALL),
+    den AS (SELECT session_id, ord, name, coalesce(q, 0) AS q, (SELECT count(DISTINCT label) FROM lab WHERE lab.session_id = prof.session_id AND lab.ord = prof.ord AND label >= 0) AS n,
+      (SELECT avg(CASE WHEN label = -1 THEN 1 ELSE 0 END) FROM lab WHERE lab.session_id = prof.session_id AND lab.ord = prof.ord) AS noise FROM prof LEFT JOIN dql USING (session_id, ord)),
+    stp AS (SELECT session_id, min(ord) AS s FROM den WHERE q >= {rules.QUALITY_GATE} AND n <= {rules.MAX_CLUSTERS} GROUP BY ALL),
+    tri AS (SELECT session_id, ord, 'density' AS backend, name, q, n, noise FROM den LEFT JOIN stp USING (session_id) WHERE s IS NULL OR ord <= s
+      UNION ALL SELECT session_id, 100 + k, 'kmeans', 'kmeans_' || CAST(k AS VARCHAR), q, n, 0 FROM att)"""
+
+
+@query("ml_profile_select", f"""WITH RECURSIVE {SQL_VEC}, {SQL_PROFILES}
+    SELECT session_id, count(*) OVER w AS attempt_count, CASE WHEN q > 0 THEN backend ELSE 'single' END AS backend, CASE WHEN q > 0 THEN name ELSE 'one_cluster' END AS profile_name,
+      round(CASE WHEN q > 0 THEN q ELSE 0.0 END, 6) AS quality_score, CASE WHEN q > 0 THEN n ELSE 1 END AS cluster_count, q >= {rules.QUALITY_GATE} AS quality_gate_passed
+    FROM tri WINDOW w AS (PARTITION BY session_id)
+    QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY q DESC, backend = 'density' DESC, n, name DESC) = 1""")
+def ml_profile_select(spark, d):
+    _, _, selection = plan.clustered(points(spark, d), EPS, MAX_K)
+    return selection.drop("n").withColumn("quality_score", F.round("quality_score", 6))
+
+
+@query("ml_profile_attempts", f"""WITH RECURSIVE {SQL_VEC}, {SQL_PROFILES}
+    SELECT session_id, CAST(ord AS INT) AS ord, backend, name AS profile_name, round(q, 6) AS quality_score, n AS cluster_count, round(CAST(noise AS DOUBLE), 6) AS noise_fraction FROM tri""")
+def ml_profile_attempts(spark, d):
+    _, attempts, _ = plan.clustered(points(spark, d), EPS, MAX_K)
+    return attempts.withColumn("quality_score", F.round("quality_score", 6)).withColumn("noise_fraction", F.round("noise_fraction", 6))
 
 
 # ------------------------------------------------------------------------------------- TF-IDF

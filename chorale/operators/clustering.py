@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale import rules
-from chorale.operators.attach import fresh
-from chorale.operators.similarity import TILE_ROWS, _matrix, silhouette_linear
 from chorale.session import settled
 
 
@@ -24,101 +19,19 @@ def cluster_counts(points: DataFrame, by: list[str], label: str) -> DataFrame:
     )
 
 
-def sweep(points: DataFrame, max_k: int = 8, seed: int = 42) -> tuple[DataFrame, list[dict]]:
-    """Clusterings for k = 3 .. min(max_k, n / 3); the first best one wins.
-
-    ``points``: item_id, vector. Returns (points with ``label``, attempts). The driver loop runs
-    over at most six values of k; everything inside is distributed.
-    """
-    data = settled(points, "sweep").withColumn("features", array_to_vector("vector"))
-    n = data.count()
-    best, attempts, quality = data.withColumn("label", F.lit(0)), [], 0.0
-    for k in range(3, min(max_k, max(2, n // 3)) + 1):
-        model = KMeans(k=k, seed=seed, maxIter=10).fit(data)
-        labelled = model.transform(data).withColumnRenamed("prediction", "label")
-        row = silhouette_linear(labelled, [], "label").first()
-        attempts.append({
-            "profile_name": f"kmeans_{k}", "backend": "kmeans", "quality_score": row["quality_score"],
-            "cluster_count": row["clusters"], "noise_fraction": 0.0,
-        })
-        if row["quality_score"] > quality:
-            best, quality = labelled, row["quality_score"]
-    return best.drop("features"), attempts
-
-
-def profiles(n: int) -> list[tuple[str, int, int]]:
-    """(name, min cluster size, min samples) derived from the number of points."""
-    size = min(rules.MIN_CLUSTER_SIZE, max(2, n // 4 or 2))
-    samples = min(rules.MIN_SAMPLES, max(1, n // 6 or 1))
+def profiles(n: Column) -> list[tuple[str, Column, Column]]:
+    """(name, min cluster size, min samples) derived from a session's number of points."""
+    share = lambda parts, least: F.greatest(F.lit(least), F.floor(n / parts).cast("int"))
+    size = F.least(F.lit(rules.MIN_CLUSTER_SIZE), share(4, 2))
+    samples = F.least(F.lit(rules.MIN_SAMPLES), share(6, 1))
+    n = n.cast("int")
     return [
         ("density_default", size, samples),
-        ("density_smaller_clusters", max(2, size - 1), max(1, samples)),
-        ("density_more_stable", min(max(2, n - 1), size + 1), min(max(1, n - 2), samples + 1)),
+        ("density_smaller_clusters", F.greatest(F.lit(2), size - 1), samples),
+        ("density_more_stable", F.least(F.greatest(F.lit(2), n - 1), size + 1), F.least(F.greatest(F.lit(1), n - 2), samples + 1)),
     ]
 
 
-def _slab_tiles(points: DataFrame, eps: float, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the tile join: points whose projections differ by at most eps meet.
-
-    The projection onto one fixed unit direction never exceeds the distance, so neighbours lie in
-    the same or the next slab of width eps. Slabs are cut further into tiles by hash.
-    """
-    size = F.size("vector")
-    shift = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")) / F.sqrt(size)
-    slabbed = points.withColumn("slab", F.floor(shift / eps))
-    counts = slabbed.groupBy("slab").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    around = counts
-    for name, step in (("next_tiles", -1), ("prev_tiles", 1)):
-        other = counts.select((F.col("slab") + step).alias("slab"), F.col("tiles").alias(name))
-        around = around.join(other, "slab", "left")
-    around = around.fillna(0, ["next_tiles", "prev_tiles"])
-    placed = slabbed.join(around, "slab").withColumn(
-        "tile", F.pmod(F.xxhash64("item_id"), F.col("tiles").cast("bigint")).cast("int")
-    )
-
-    def spread(first: Column, last: Column, step: int) -> Column:
-        numbers = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(numbers, lambda t: F.struct(F.lit(step).alias("step"), t.alias("tile")))
-
-    tile, zero = F.col("tile"), F.lit(0)
-    rows = [c for c in points.columns]
-    left = placed.withColumn("o", F.explode(F.concat(
-        spread(tile, F.col("tiles") - 1, 0), spread(zero, F.col("next_tiles") - 1, 1)
-    ))).select(F.col("slab").alias("a"), F.col("tile").alias("i"), (F.col("slab") + F.col("o.step")).alias("b"), F.col("o.tile").alias("j"), *rows)
-    right = placed.withColumn("o", F.explode(F.concat(
-        spread(zero, tile, 0), spread(zero, F.col("prev_tiles") - 1, -1)
-    ))).select((F.col("slab") + F.col("o.step")).alias("a"), F.col("o.tile").alias("i"), F.col("slab").alias("b"), F.col("tile").alias("j"), *fresh(placed, rows))
-    return left, right
-
-
-def _near(q: pd.DataFrame, i: pd.DataFrame, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    a, b = _matrix(q["vector"]), _matrix(i["vector"])
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(squares, 0.0), squares <= eps * eps
-
-
-KEYS = ["a", "i", "b", "j"]
-
-
-def neighbour_counts(points: DataFrame, eps: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(item_id, neighbours) within eps, the point itself included."""
-    left, right = _slab_tiles(points.select("item_id", "vector"), eps, tile_rows)
-
-    def reduce(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"item_id": [], "n": []})
-        near = _near(q, i, eps)[1]
-        same_tile = q["a"].iloc[0] == q["b"].iloc[0] and q["i"].iloc[0] == q["j"].iloc[0]
-        out = pd.DataFrame({"item_id": q["item_id"], "n": near.sum(1)})
-        if same_tile:
-            return out
-        return pd.concat([out, pd.DataFrame({"item_id": i["item_id"], "n": near.sum(0)})])
-
-    kind = dict(points.dtypes)["item_id"]
-    parts = left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(reduce, f"item_id {kind}, n bigint")
-    return parts.groupBy("item_id").agg(F.sum("n").alias("neighbours"))
-
-
 def _components(near: np.ndarray) -> np.ndarray:
     """Component number of the rows and columns of a boolean bipartite block (breadth first)."""
     rows, cols = near.shape
@@ -139,50 +52,6 @@ def _components(near: np.ndarray) -> np.ndarray:
     return part
 
 
-def density_links(points: DataFrame, eps: float, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(item_id, other_id, distance): links that keep the connectivity of the core points.
-
-    ``points``: item_id, vector, core. A tile links every core point to one point of its
-    component, and every border point to its nearest core point: rows grow with points, not with
-    pairs, even where a third of all points lie within eps of each other.
-    """
-    left, right = _slab_tiles(points.select("item_id", "vector", "core"), eps, tile_rows)
-
-    def reduce(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        names = ["item_id", "other_id", "distance"]
-        if q.empty or i.empty:
-            return pd.DataFrame(columns=names)
-        q, i = q.sort_values("item_id"), i.sort_values("item_id")
-        squares, near = _near(q, i, eps)
-        qi, ii = q["item_id"].to_numpy(), i["item_id"].to_numpy()
-        qc, ic = q["core"].to_numpy(bool), i["core"].to_numpy(bool)
-        out = []
-        core = near[np.ix_(qc, ic)]
-        if core.size:
-            part = _components(core)
-            ids = np.r_[qi[qc], ii[ic]]
-            linked = part >= 0
-            out.append(pd.DataFrame({
-                "item_id": ids[linked], "other_id": qi[qc][part[linked]], "distance": -1.0,
-            }))
-        for ids, is_core, others, other_core, d, ok in (
-            (qi, qc, ii, ic, squares, near), (ii, ic, qi, qc, squares.T, near.T)
-        ):
-            block = np.where(ok[np.ix_(~is_core, other_core)], d[np.ix_(~is_core, other_core)], np.inf)
-            if block.size:
-                best = block.argmin(1)
-                found = np.isfinite(block[np.arange(len(block)), best])
-                out.append(pd.DataFrame({
-                    "item_id": ids[~is_core][found], "other_id": others[other_core][best[found]],
-                    "distance": block[np.arange(len(block)), best][found],
-                }))
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
-
-    kind = dict(points.dtypes)["item_id"]
-    schema = f"item_id {kind}, other_id {kind}, distance double"
-    return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(reduce, schema)
-
-
 def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each component, by alternating star steps.
 
@@ -211,36 +80,6 @@ def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def density_clusters(
-    points: DataFrame, eps: float, min_samples: int = rules.MIN_SAMPLES,
-    min_cluster_size: int = rules.MIN_CLUSTER_SIZE, tile_rows: int = TILE_ROWS,
-) -> DataFrame:
-    """(item_id, label): dense groups named by their smallest core point, -1 for noise.
-
-    Core points have ``min_samples`` neighbours within eps besides themselves; border points join
-    their nearest core point; groups below ``min_cluster_size`` become noise.
-    """
-    counted = points.join(neighbour_counts(points, eps, tile_rows), "item_id").withColumn(
-        "core", F.col("neighbours") > min_samples
-    )
-    counted = settled(counted, "counted")
-    links = settled(density_links(counted, eps, tile_rows), "density")
-    cores = counted.where("core").select(F.col("item_id").alias("node"))
-    inner = links.where("distance < 0").select(F.col("item_id").alias("u"), F.col("other_id").alias("v"))
-    parts = connected_components(cores, inner)
-    border = links.where("distance >= 0").groupBy("item_id").agg(
-        F.min(F.struct("distance", "other_id")).getField("other_id").alias("node")
-    )
-    member = parts.select(F.col("node").alias("item_id"), "component").unionByName(
-        border.join(parts, "node").select("item_id", "component")
-    )
-    sizes = member.groupBy("component").agg(F.count("*").alias("n"))
-    kept = member.join(sizes.where(F.col("n") >= min_cluster_size), "component")
-    return points.select("item_id").join(kept.select("item_id", "component"), "item_id", "left").select(
-        "item_id", F.coalesce("component", F.lit(-1)).alias("label")
-    )
-
-
 def selected_profile(
     attempts: DataFrame, gate: float = rules.QUALITY_GATE, max_clusters: int = rules.MAX_CLUSTERS
 ) -> DataFrame:
