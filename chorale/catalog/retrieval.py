@@ -10,10 +10,10 @@ from chorale.catalog.gates import alerts
 from chorale.catalog.joins import SQL_QUOTES, quoted_clusters
 from chorale.catalog.text import sql_intent
 from chorale.catalog.views import (
-    RUN_TS, SQL_FIXED, SQL_TOKEN, assignments, clusters, job_events, parsed, questions, sql, table,
+    RUN_TS, SQL_FIXED, SQL_TOKEN, assignments, clusters, job_events, parsed, questions, sql, sql_in,
 )
 from chorale.catalog.windows import SQL_DOC
-from chorale.operators import lookups, ranking, search, similarity, themes
+from chorale.operators import lookups, ranking, search, themes, vectorizer
 from chorale.plans import answers, evals, prepare, report
 from chorale.session import settled
 
@@ -24,36 +24,51 @@ def sections(found):
     return texts.where(F.col("session_id") != "sess_3").select("session_id", F.lit("executive_summary").alias("section_name"), "text")
 
 
+_built: dict[tuple[str, str], dict] = {}
+
+
 def index(spark, d):
-    """Search index over the themes: reviews with an embedding carry a vector."""
-    asg = assignments(spark, d)
-    found = clusters(spark, d, asg)
-    given = table(spark, d, "embeddings").select(F.col("vec_id").alias("raw_index"), F.col("embedding").alias("vector"))
-    reviews = asg.join(given, "raw_index").select("session_id", "review_id", "cluster_id", "vector")
-    parts = {"clusters": found, "reviews": asg, "review_vectors": reviews}
-    stored = {name: settled(part, name) for name, part in parts.items()}
-    return {
-        **stored, "sections": sections(stored["clusters"]),
-        "cluster_vectors": settled(similarity.centroids(stored["review_vectors"], themes.KEYS), "cluster_vectors"),
-    }
-
-
-def asked(spark, d):
-    """Questions with a vector: the mean embedding of their topic."""
-    topics = similarity.centroids(table(spark, d, "embeddings").select(F.col("label").alias("topic"), F.col("embedding").alias("vector")), ["topic"])
-    return questions(spark, d).join(topics, "topic").drop("topic")
-
-
-SQL_INDEX = """
-    rvc AS (SELECT session_id, review_id, cluster_id, CAST(embedding AS DOUBLE[]) AS v FROM asg JOIN embeddings ON raw_index = vec_id),
-    cvc AS (SELECT session_id, cluster_id, list(m ORDER BY i) AS v FROM (SELECT session_id, cluster_id, i, avg(x) AS m FROM
-      (SELECT session_id, cluster_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rvc) GROUP BY ALL) GROUP BY ALL),
-    tpc AS (SELECT topic, list(m ORDER BY i) AS q FROM (SELECT topic, i, avg(x) AS m FROM
-      (SELECT label AS topic, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY ALL),
-    ask AS (SELECT * FROM qs JOIN tpc USING (topic))"""
+    """Search index over the themes and all their reviews: built and stored once an application, as questions come later."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        asg = settled(assignments(spark, d), "reviews")
+        found = settled(clusters(spark, d, asg), "clusters")
+        _built[key] = {**search.build_index(found, asg), "reviews": asg, "sections": settled(sections(found), "sections")}
+    return _built[key]
+
+
+def _sql_block(name: str, source: str, max_df: str) -> str:
+    """Vocabulary ``v{name}`` and unit rows ``w{name}`` of a block, from its counts (session_id, doc_id, term, tf)."""
+    return f"""t{name} AS ({source.replace('{0}', 'crp')}),
+    v{name} AS (SELECT session_id, term, ln((min(n) + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1.0 AS idf FROM t{name} JOIN cnt USING (session_id) GROUP BY session_id, term
+      HAVING {max_df} QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sum(tf) DESC, term) <= 4000),
+    w{name} AS (SELECT session_id, doc_id, '{name}' AS b, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY session_id, doc_id)) AS w FROM t{name} JOIN v{name} USING (session_id, term))"""
+
+
+_SQL_WORDS = rf"""SELECT session_id, doc_id, unnest(list_concat(w, list_transform(list_zip(w[1:len(w)-1], w[2:len(w)]), lambda p: p[1] || ' ' || p[2]))) AS term, 1 AS one
+      FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN {sql_in(rules.SEARCH_STOP_WORDS)}) AS w FROM {{0}})"""
+_SQL_WORDS = f"SELECT session_id, doc_id, term, count(*) AS tf FROM ({_SQL_WORDS}) GROUP BY ALL"
+_SQL_CHARS = r"""SELECT session_id, doc_id, substr(p, i, n) AS term, sum(c) AS tf FROM
+      (SELECT session_id, doc_id, p, c, n, unnest(range(1, CAST(length(p) - n + 2 AS BIGINT))) AS i FROM
+        (SELECT session_id, doc_id, p, count(*) AS c FROM (SELECT session_id, doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) || ' ' AS p FROM {0}) GROUP BY ALL),
+        (SELECT unnest([3, 4, 5]) AS n) WHERE n <= length(p)) GROUP BY ALL"""
+SQL_INDEX = f"""
+    crp AS (SELECT session_id, 'c' || cluster_id AS doc_id, {SQL_DOC} AS text FROM clu UNION ALL SELECT session_id, 'r' || review_id, text FROM asg),
+    cnt AS (SELECT session_id, count(*) AS n FROM crp GROUP BY ALL),
+    {_sql_block('word', _SQL_WORDS, 'count(*) <= 0.88 * min(n) OR min(n) = 1')},
+    {_sql_block('char', _SQL_CHARS, 'true')},
+    vct AS MATERIALIZED (SELECT session_id, doc_id, b, term, w / sqrt(sum(w * w) OVER (PARTITION BY session_id, doc_id)) AS w FROM (SELECT * FROM wword UNION ALL SELECT * FROM wchar)),
+    mem AS (SELECT session_id, 'r' || review_id AS doc_id, cluster_id FROM asg),
+    ask AS (SELECT question_id, session_id, question, topic FROM qs)"""
 SQL_SEARCH = """
-    csm{n} AS (SELECT question_id, cluster_id, greatest(0.0, list_cosine_similarity(q, v)) AS s FROM {ask} JOIN cvc USING (session_id)),
-    rsm{n} AS (SELECT question_id, cluster_id, greatest(0.0, max(list_cosine_similarity(q, v))) AS s FROM {ask} JOIN rvc USING (session_id) GROUP BY ALL),
+    que{n} AS (SELECT session_id, question_id AS doc_id, question AS text FROM {ask}),
+    qtw{n} AS ({words}), qtc{n} AS ({chars}),
+    qwt{n} AS (SELECT session_id, doc_id, 'word' AS b, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY session_id, doc_id)) AS w FROM qtw{n} JOIN vword USING (session_id, term)
+      UNION ALL SELECT session_id, doc_id, 'char', term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY session_id, doc_id)) FROM qtc{n} JOIN vchar USING (session_id, term)),
+    qvc{n} AS (SELECT session_id, doc_id AS question_id, b, term, w / sqrt(sum(w * w) OVER (PARTITION BY session_id, doc_id)) AS w FROM qwt{n}),
+    cos{n} AS MATERIALIZED (SELECT session_id, question_id, v.doc_id, sum(q.w * v.w) AS s FROM qvc{n} q JOIN vct v USING (session_id, b, term) GROUP BY ALL),
+    csm{n} AS (SELECT question_id, doc_id[2:] AS cluster_id, greatest(0.0, s) AS s FROM cos{n} WHERE doc_id[1] = 'c'),
+    rsm{n} AS (SELECT question_id, cluster_id, greatest(0.0, max(s)) AS s FROM cos{n} JOIN mem USING (session_id, doc_id) GROUP BY ALL),
     lex{n} AS (SELECT question_id, c.session_id, c.cluster_id, c.label, c.summary, c.priority_score, least(1.0, CAST(len(list_intersect(qt, ct)) AS DOUBLE) / greatest(1, least(len(qt), 5))) AS l
       FROM (SELECT question_id, session_id, list_distinct(regexp_extract_all(lower(question), '{t}')) AS qt FROM {ask}) q
       JOIN (SELECT *, list_distinct(regexp_extract_all(lower(label || ' ' || summary || ' ' || array_to_string(keywords, ' ')), '{t}')) AS ct FROM clu) c USING (session_id)),
@@ -65,7 +80,8 @@ SQL_SEARCH = """
 
 
 def sql_search(n: str, ask: str, k: int) -> str:
-    return SQL_SEARCH.replace("{n}", n).replace("{ask}", ask).replace("{t}", SQL_TOKEN).replace("{k}", str(k))
+    asked = SQL_SEARCH.replace("{words}", _SQL_WORDS.replace("{0}", "que{n}")).replace("{chars}", _SQL_CHARS.replace("{0}", "que{n}"))
+    return asked.replace("{n}", n).replace("{ask}", ask).replace("{t}", SQL_TOKEN).replace("{k}", str(k))
 
 
 @query("ret_cluster_docs", sql("clu", f"SELECT session_id, cluster_id, {SQL_DOC} AS document FROM clu"))
@@ -74,9 +90,23 @@ def ret_cluster_docs(spark, d):
     return clusters(spark, d).select(*themes.KEYS, document.alias("document"))
 
 
+@query("ret_query_vector", sql("asg clu qs", f"""WITH {SQL_INDEX}, {sql_search('', 'ask', 5)}
+    SELECT question_id, count(*) AS places, round(max(w), 6) AS top_weight, round(sum(w), 6) AS total FROM qvc GROUP BY ALL"""))
+def ret_query_vector(spark, d):
+    stored = index(spark, d)
+    asked = questions(spark, d).select("session_id", F.col("question_id").alias("doc_id"), F.col("question").alias("text"))
+    rows = vectorizer.same_space(vectorizer.Vectorizer(stored["terms"], stored["spaces"]).transform(asked), stored["cluster_rows"])
+    half = (F.size("vector") / 2).cast("int")
+    weights = F.slice("vector", half + 1, half)
+    return rows.select(
+        F.col("doc_id").alias("question_id"), half.cast("bigint").alias("places"), F.round(F.array_max(weights), 6).alias("top_weight"),
+        F.round(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x), 6).alias("total"),
+    )
+
+
 @query("ret_search_hybrid", sql("asg clu qs", f"WITH {SQL_INDEX}, {sql_search('', 'ask', 5)} SELECT question_id, cluster_id, score, match_reason, CAST(rank AS INT) AS rank FROM hit"))
 def ret_search_hybrid(spark, d):
-    rows = asked(spark, d).withColumnRenamed("question", "query")
+    rows = questions(spark, d).withColumnRenamed("question", "query")
     return search.search(rows, index(spark, d), 5).select("question_id", "cluster_id", "score", "match_reason", "rank")
 
 
@@ -105,7 +135,7 @@ def ret_report_section(spark, d):
     SELECT question_id, hits, quotes, trends, CAST(ht + coalesce(qtk, 0) AS BIGINT) AS tokens FROM h LEFT JOIN q USING (question_id) LEFT JOIN t USING (question_id)"""))
 def ret_evidence(spark, d):
     ix = index(spark, d)
-    hits = search.search(asked(spark, d).withColumnRenamed("question", "query"), ix, 3)
+    hits = search.search(questions(spark, d).withColumnRenamed("question", "query"), ix, 3)
     quotes = ranking.quotes(ix["reviews"], 2).select("session_id", "cluster_id", "rank", "review_id", "text", "source", "created_at")
     found = search.evidence(hits, quotes, ix["clusters"], F.lit(True))
     names = lambda c, f: F.array_join(F.transform(c, f), ",")
@@ -124,14 +154,13 @@ SQL_ROUTE = f"""{SQL_INDEX}, {sql_search('', 'ask', 5)},
 
 @query("qa_route", sql("asg clu qs", f"WITH {SQL_ROUTE} SELECT question_id, cluster_id, CAST(rank AS INT) AS rank, score, match_reason FROM rte"))
 def qa_route(spark, d):
-    return answers.routed_hits(asked(spark, d), index(spark, d)).select("question_id", "cluster_id", "rank", "score", "match_reason")
+    return answers.routed_hits(questions(spark, d), index(spark, d)).select("question_id", "cluster_id", "rank", "score", "match_reason")
 
 
 SQL_SIGNED = "(CASE WHEN {0} >= 0 THEN '+' ELSE '' END || " + SQL_FIXED.format("{0}", 2) + ")"
 SQL_ANSWER = f"""{SQL_QUOTES.strip()}, {SQL_ROUTE.strip()},
-    ev2 AS (SELECT f.question_id, f.session_id, CASE WHEN f_priority THEN r.label ELSE f.question END AS question,
-      CASE WHEN f_priority THEN coalesce(c.v, f.q) ELSE f.q END AS q FROM flg f JOIN rte r ON r.question_id = f.question_id AND r.rank = 1
-      LEFT JOIN cvc c ON c.session_id = r.session_id AND c.cluster_id = r.cluster_id), {sql_search('2', 'ev2', 3)},
+    ev2 AS (SELECT f.question_id, f.session_id, CASE WHEN f_priority THEN r.label ELSE f.question END AS question
+      FROM flg f JOIN rte r ON r.question_id = f.question_id AND r.rank = 1), {sql_search('2', 'ev2', 3)},
     cmp AS (SELECT f.question_id, a.cluster_id AS ca, b.cluster_id AS cb, a.priority_score AS pa, b.priority_score AS pb, a.sentiment_score AS sa, b.sentiment_score AS sb
       FROM flg f JOIN rte x ON x.question_id = f.question_id AND x.rank = 1 JOIN rte y ON y.question_id = f.question_id AND y.rank = 2
       JOIN clu a ON a.session_id = f.session_id AND a.cluster_id = x.cluster_id JOIN clu b ON b.session_id = f.session_id AND b.cluster_id = y.cluster_id WHERE f_compare),
@@ -151,7 +180,7 @@ SQL_ANSWER = f"""{SQL_QUOTES.strip()}, {SQL_ROUTE.strip()},
     FROM flg f JOIN hit2 h ON h.question_id = f.question_id AND h.rank = 1 JOIN ids ON ids.question_id = f.question_id LEFT JOIN cmp ON cmp.question_id = f.question_id
     LEFT JOIN trn ON trn.question_id = f.question_id LEFT JOIN quo ON quo.question_id = f.question_id LEFT JOIN sec ON sec.session_id = f.session_id"""))
 def qa_compose(spark, d):
-    return answers.answer(asked(spark, d), index(spark, d)).select("question_id", "answer")
+    return answers.answer(questions(spark, d), index(spark, d)).select("question_id", "answer")
 
 
 @query("qa_tool_trace", sql("asg clu qs", f"""WITH {SQL_ANSWER},
@@ -161,7 +190,7 @@ def qa_compose(spark, d):
         || repeat(',get_quotes', m.c) || repeat(',get_trend', coalesce(len(notes), 0)) || CASE WHEN f_report THEN ',get_report_section' ELSE '' END AS tools
     FROM flg f JOIN n ON n.question_id = f.question_id JOIN m ON m.question_id = f.question_id LEFT JOIN cmp ON cmp.question_id = f.question_id LEFT JOIN trn ON trn.question_id = f.question_id"""))
 def qa_tool_trace(spark, d):
-    found = answers.answer(asked(spark, d), index(spark, d))
+    found = answers.answer(questions(spark, d), index(spark, d))
     return found.select(
         "question_id", F.col("tool_trace")[0]["output_summary"].alias("first_summary"),
         F.array_join(F.transform("tool_trace", lambda t: t["tool"]), ",").alias("tools"),
@@ -207,14 +236,8 @@ def tool_calls(spark, d):
     FROM pic p LEFT JOIN clu c ON c.session_id = p.session_id AND c.cluster_id = p.cl LEFT JOIN clu o ON o.session_id = p.session_id AND o.cluster_id = 'theme_1'
     LEFT JOIN nh ON nh.question_id = p.question_id LEFT JOIN nc ON nc.session_id = p.session_id"""))
 def qa_tool_batch(spark, d):
-    rows = asked(spark, d)
-    calls = answers.normalized_calls(tool_calls(spark, d), rows)
-
-    def vectorize(keyed):
-        base = F.substring_index("question_id", "#", 1)
-        return keyed.withColumn("_base", base).join(rows.select(F.col("question_id").alias("_base"), "vector"), "_base").drop("_base")
-
-    return answers.run_calls(calls, index(spark, d), vectorize).select("question_id", "step", "call", "tool", "summary")
+    calls = answers.normalized_calls(tool_calls(spark, d), questions(spark, d))
+    return answers.run_calls(calls, index(spark, d)).select("question_id", "step", "call", "tool", "summary")
 
 
 @query("qa_prompt_payload", sql("asg clu", """
@@ -314,7 +337,7 @@ def eval_pii_leak(spark, d):
     SELECT a.question_id, 'theme_' || CAST(topic % 7 AS VARCHAR) AS expected_prefix, cluster_id, coalesce(starts_with(cluster_id, 'theme_' || CAST(topic % 7 AS VARCHAR)), false) AS passed
     FROM ask a LEFT JOIN hit USING (question_id)"""))
 def eval_fixed_questions(spark, d):
-    rows = asked(spark, d)
+    rows = questions(spark, d)
     hits = search.search(rows.withColumnRenamed("question", "query"), index(spark, d), 1)
     expected = questions(spark, d).select(
         F.col("question_id").alias("question"), F.concat(F.lit("theme_"), (F.col("topic") % 7).cast("string")).alias("expected_prefix")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chorale import rules
 from chorale.catalog.core import query
-from chorale.catalog.views import assignments, clusters, feedback, questions, sql, sql_in, table
+from chorale.catalog.views import assignments, clusters, feedback, sql, sql_in, table
 from chorale.functions import values
 from chorale.functions.vectors import dot, norm
 from chorale.operators import clustering, density, features, similarity, sweep, themes
@@ -251,9 +251,8 @@ def per_term(terms, vocab):
 
 @query("agg_tfidf_word", sql("fb", f"""WITH {SQL_GRAMS.replace('{0}', '(SELECT raw_index AS doc_id, text FROM fb)')}, {SQL_WEIGHTS.format('count(*) <= 0.88 * min(n)', 2500)} {SQL_PER_TERM}"""))
 def agg_tfidf_word(spark, d):
-    docs = documents(spark, d)
-    terms = settled(features.word_terms(docs, [], STOP), "terms")
-    return per_term(terms, features.vocabulary(terms, docs, [], 2500, 0.88))
+    vocab, terms = features.word_block(documents(spark, d), [], STOP, 2500, 0.88)
+    return per_term(terms, vocab)
 
 
 SQL_CHAR = r"""
@@ -266,9 +265,8 @@ SQL_CHAR = r"""
 
 @query("agg_tfidf_char", sql("fb", f"WITH {SQL_CHAR}, {SQL_WEIGHTS.format('true', 2500).replace('count(*) AS tf FROM grm', 'sum(c) AS tf FROM grm')} {SQL_PER_TERM}"))
 def agg_tfidf_char(spark, d):
-    docs = documents(spark, d)
-    terms = features.char_terms(settled(features.char_words(docs, []), "words"), [])
-    return per_term(terms, features.vocabulary(terms, docs, [], 2500))
+    vocab, terms = features.char_block(documents(spark, d), [], 2500)
+    return per_term(terms, vocab)
 
 
 @query("agg_keywords_tfidf", sql("asg", f"""WITH {SQL_GRAMS.replace('{0}', '(SELECT session_id, cluster_id, raw_index AS doc_id, text FROM asg)')},
@@ -309,17 +307,3 @@ def ml_vectors_in(spark, d):
     )
     sizes = chosen.groupBy("session_id").agg(F.count("vector").alias("vectors"))
     return sources.join(sizes, "session_id").drop("complete")
-
-
-@query("ret_query_vector", sql("fb qs", f"""WITH {SQL_GRAMS.replace('{0}', '(SELECT raw_index AS doc_id, text FROM fb)')}, {SQL_WEIGHTS.format('count(*) <= 0.88 * min(n)', 4000)},
-    qtk AS (SELECT question_id, list_filter(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN {sql_in(STOP)}) AS w FROM qs),
-    qgr AS (SELECT question_id, unnest(list_concat(w, list_transform(list_zip(w[1:len(w)-1], w[2:len(w)]), lambda p: p[1] || ' ' || p[2]))) AS term FROM qtk),
-    qtf AS (SELECT question_id, term, count(*) AS tf FROM qgr GROUP BY ALL),
-    qw AS (SELECT question_id, term, tf * idf AS w FROM qtf JOIN voc USING (term))
-    SELECT question_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM qw GROUP BY ALL"""))
-def ret_query_vector(spark, d):
-    docs = documents(spark, d)
-    vocab = features.vocabulary(features.word_terms(docs, [], STOP), docs, [], 4000, 0.88)
-    asked = features.word_terms(questions(spark, d).select(F.col("question_id").alias("doc_id"), F.col("question").alias("text")), [], STOP)
-    found = features.weights(asked, vocab, [])
-    return found.groupBy(F.col("doc_id").alias("question_id")).agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chorale.operators import clustering, decisions, gates, ranking, themes, trends
+from chorale.operators import clustering, decisions, gates, ranking, search, themes, trends
 from chorale.plans import answers, evals, prepare, report
 from chorale.session import work_path
 from chorale.sources import readers, writers
@@ -148,18 +148,15 @@ def index(spark):
         [("s", i, f"r{i}", c, f"text {i} of {c}", "web", "2024-01-01", s) for i, (c, s) in enumerate([("pay_1", -0.5), ("pay_1", 0.9), ("pay_2", 0.1), ("dark_3", 0.3)])],
         "session_id string, raw_index int, review_id string, cluster_id string, text string, source string, created_at string, sentiment double",
     )
-    vectors = {"pay_1": [1.0, 0.0], "pay_2": [0.8, 0.6], "dark_3": [0.0, 1.0]}
-    cv = spark.createDataFrame([("s", c, v) for c, v in vectors.items()], "session_id string, cluster_id string, vector array<double>")
-    rv = reviews.select("session_id", "review_id", "cluster_id").join(cv, ["session_id", "cluster_id"])
     sections = spark.createDataFrame([("s", "executive_summary", "All is well.")], "session_id string, section_name string, text string")
-    return {"clusters": cluster_rows(spark), "reviews": reviews, "cluster_vectors": cv, "review_vectors": rv, "sections": sections}
+    return {**search.build_index(cluster_rows(spark), reviews), "reviews": reviews, "sections": sections}
 
 
 def test_answers_cover_every_intent(spark):
     asked = spark.createDataFrame([
-        ("q1", "s", "What about the payment crash?", [1.0, 0.0]), ("q2", "s", "Compare dark theme vs payment trend", [0.0, 1.0]),
-        ("q3", "s", "top priority in the report", [0.0, 1.0]), ("q4", "s", "   ", [0.0, 1.0]),
-    ], "question_id string, session_id string, question string, vector array<double>")
+        ("q1", "s", "What about the payment crash?"), ("q2", "s", "Compare dark theme vs payment trend"),
+        ("q3", "s", "top priority in the report"), ("q4", "s", "   "),
+    ], "question_id string, session_id string, question string")
     got = {r["question_id"]: r for r in answers.answer(asked, index(spark)).collect()}
     assert set(got) == {"q1", "q2", "q3"}
     assert got["q1"]["cluster_hits"][0]["cluster_id"] == "pay_1" and "Trend view" not in got["q1"]["answer"]
@@ -172,9 +169,9 @@ def test_answers_cover_every_intent(spark):
 
 
 def test_tool_batch_reports_failures(spark):
-    asked = spark.createDataFrame([("q1", "s", "top priority?", [1.0, 0.0]), ("q2", "s", "dark theme", [0.0, 1.0])], "question_id string, session_id string, question string, vector array<double>")
+    asked = spark.createDataFrame([("q1", "s", "top priority?"), ("q2", "s", "dark theme")], "question_id string, session_id string, question string")
     calls = spark.createDataFrame([("q2", "s", 0, 1, "get_trend", '{"cluster_id": "none"}'), ("q2", "s", 0, 2, "get_quotes", '{"cluster_id": "pay_1", "limit": 99}'), ("q2", "s", 0, 3, "top_clusters", "{}")], "question_id string, session_id string, step int, ord int, tool string, arguments string")
-    done = answers.run_calls(answers.normalized_calls(calls, asked), index(spark), lambda k: k.withColumn("vector", F.array(F.lit(0.0), F.lit(1.0))))
+    done = answers.run_calls(answers.normalized_calls(calls, asked), index(spark))
     got = {(r["question_id"], r["tool"]): r["summary"] for r in done.collect()}
     assert got == {
         ("q1", "top_clusters"): "Selected 3 highest-priority clusters.",
