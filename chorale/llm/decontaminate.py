@@ -16,7 +16,8 @@ which is counted first; beyond it the joins shuffle. The search folds case with
 of the exact rule, since both sides are folded alike), the check lower-cases A-Z alone.
 
 Defined results: null text, empty text and text without words have no words and are not contaminated.
-Items without words, and items without id, have no windows. Items with equal ids count once. Rows of
+Items without words have no windows. Windows of items without id hit words like any other and are in no list
+of items. Items with equal ids count once. Rows of
 ``docs`` keep their number; repeated rows get equal results, a null doc_id is kept.
 """
 
@@ -59,7 +60,7 @@ def _count(parts: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item, exact, folded): the distinct windows of the items; both lists have the same length."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(
+    items = benchmark.where("text IS NOT NULL").select(
         F.col("item_id").cast("string").alias("item"), _words(_exact(F.col("text"))).alias("e"), _words(_folded(F.col("text"))).alias("f")
     ).where(F.size("e") > 0)
     size = F.least(F.size("e"), F.lit(window))
@@ -106,9 +107,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     words = F.when(F.col("found").isNotNull(), _words(_exact(F.col("text"))))
     joined = joined.select("row", "n_words", F.transform(F.array(words), in_text)[0].alias("held"))
     hit = F.array_distinct(F.flatten(F.transform("held", lambda c: F.sequence(c["start"], c["start"] + F.size(c["exact"]) - 1))))
+    named = F.filter(F.transform("held", lambda c: c["item"]), lambda i: i.isNotNull())
     return joined.select(
         "row", "n_words", F.coalesce(F.when(F.size("held") > 0, F.size(hit)), F.lit(0)).alias("n_hit"),
-        F.coalesce(F.array_sort(F.array_distinct(F.transform("held", lambda c: c["item"]))), F.array().cast("array<string>")).alias("items"),
+        F.coalesce(F.array_sort(F.array_distinct(named)), F.array().cast("array<string>")).alias("items"),
     )
 
 
@@ -125,7 +127,7 @@ i AS (
     SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (
         SELECT item_id, list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'),
             '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
-        FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+        FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
 iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS t
     FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM i)),
 dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS t

@@ -107,10 +107,10 @@ def leaks(rows, items, window=10):
     """(doc_id, words, words hit, items found, sha of their ids, contaminated)."""
     wins = defaultdict(set)
     for item, text in items:
-        w = MARK_WORDS.findall(lowered(text)) if text is not None and item is not None else []
+        w = MARK_WORDS.findall(lowered(text)) if text is not None else []
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            wins[tuple(w[i : i + n])].add(str(item))
+            wins[tuple(w[i : i + n])].add(None if item is None else str(item))
     out = []
     for doc_id, text in rows:
         w = MARK_WORDS.findall(lowered(text))
@@ -120,6 +120,6 @@ def leaks(rows, items, window=10):
                 got = wins.get(tuple(w[i : i + n]))
                 if got:
                     hit.update(range(i, i + n))
-                    found |= got
+                    found |= got - {None}
         out.append((doc_id, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out

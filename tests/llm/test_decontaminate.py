@@ -17,7 +17,7 @@ def cases(seed):
     rng = random.Random(seed)
     word = lambda: rng.choice(["the", "of", "É", "é", "ΑΣ", "ας", "K", "k", "x1", "Ab", "aB"]) + rng.choice(["", "", "1", "q"])
     items = [(i % 9, rng.choice([" ", ". ", "--"]).join(word() for _ in range(rng.randrange(1, 16)))) for i in range(12)]
-    items += [(50, None), (51, ""), (None, "the of the of"), (52, "..."), (53, "the")]
+    items += [(50, None), (51, ""), (None, "the of the of"), (None, "an item without an id of ten words or so, in all"), (52, "..."), (53, "the")]
     rows = []
     for i in range(80):
         parts = [word() for _ in range(rng.randrange(0, 30))]
