@@ -59,3 +59,19 @@ def clustered(
     by_sweep = swept.join(picked.where("backend = 'kmeans'"), "session_id", "left_semi")
     single = points.select("session_id", "item_id").join(picked.where("backend = 'single'"), "session_id", "left_semi").withColumn("label", F.lit(0))
     return by_density.unionByName(by_sweep).unionByName(single), attempts, selection
+
+
+def themed(
+    reviews: DataFrame, vectors: DataFrame, eps: float, max_k: int, exact_rows: int = density.EXACT_ROWS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reviews with their ``cluster_id``, attempts, selection): what roll-ups, quotes and alerts are made from.
+
+    ``reviews``: sanitized rows with session_id and review_id; ``vectors``: session_id, review_id, vector, one space a session.
+    Reviews without a vector are weak signals, as is the noise of the clustering.
+    """
+    points = reviews.select("session_id", F.col("review_id").alias("item_id")).join(
+        vectors.select("session_id", F.col("review_id").alias("item_id"), "vector"), ["session_id", "item_id"], "left"
+    )
+    labels, attempts, selection = clustered(settled(points, "review-points"), eps, max_k, exact_rows=exact_rows)
+    named = labels.select("session_id", F.col("item_id").alias("review_id"), clustering.label_key(F.col("label")).alias("cluster_id"))
+    return reviews.join(named, ["session_id", "review_id"]), attempts, selection
