@@ -10,6 +10,7 @@ from chorale.catalog.gates import alerts
 from chorale.catalog.text import SQL_FLAGS
 from chorale.catalog.views import assignments, clusters, parsed, sql, table
 from chorale.operators import decisions, lookups, ranking, themes
+from chorale.operators.attach import fresh
 
 
 @query("join_latest_job", """
@@ -30,44 +31,43 @@ def join_latest_job(spark, d):
 
 
 def parts(spark, d):
-    """(reviews, assignments, scores): not every review has a cluster, not every one a score."""
+    """(reviews, assignments, scores) of all reviews: a text without a word of the lexicon has no score."""
     asg = assignments(spark, d)
-    n = F.col("raw_index")
     return (
         asg.select("session_id", "review_id", "source", "text"),
-        asg.where(n % 10 != 0).select("session_id", "review_id", "cluster_id"),
-        asg.where(n % 15 != 0).select("session_id", "review_id", "sentiment"),
+        asg.select("session_id", "review_id", "cluster_id"),
+        asg.where("sentiment <> 0").select("session_id", "review_id", "sentiment"),
     )
 
 
 @query("join_review_payload", sql("asg", """
-    SELECT session_id, review_id, cluster_id, source, CASE WHEN raw_index % 15 <> 0 THEN sentiment ELSE 0.0 END AS sentiment
-    FROM asg WHERE raw_index % 10 <> 0"""))
+    SELECT session_id, review_id, cluster_id, source, sentiment FROM asg"""))
 def join_review_payload(spark, d):
     return lookups.review_payload(*parts(spark, d)).select("session_id", "review_id", "cluster_id", "source", "sentiment")
 
 
 @query("join_update_analysis", sql("asg", """
-    SELECT session_id, review_id, CASE WHEN raw_index % 10 <> 0 THEN cluster_id END AS cluster_id,
-      CASE WHEN raw_index % 15 <> 0 THEN sentiment END AS sentiment FROM asg"""))
+    SELECT session_id, review_id, cluster_id, CASE WHEN sentiment <> 0 THEN sentiment END AS sentiment FROM asg"""))
 def join_update_analysis(spark, d):
     return lookups.with_analysis(*parts(spark, d)).select("session_id", "review_id", "cluster_id", "sentiment")
 
 
 @query("join_preview_cluster", sql("asg clu", """
     WITH r AS (SELECT session_id, cluster_id, row_number() OVER (PARTITION BY session_id ORDER BY priority_score DESC, size DESC, cluster_id) AS rank FROM clu),
-    m AS (SELECT session_id, review_id, cluster_id FROM asg WHERE raw_index % 10 <> 0
-      UNION ALL SELECT session_id, review_id, 'theme_0' FROM asg WHERE raw_index % 3 = 0)
+    m AS (SELECT session_id, review_id, cluster_id FROM asg WHERE cluster_id IN (SELECT cluster_id FROM clu WHERE NOT weak AND clu.session_id = asg.session_id)
+      UNION ALL SELECT session_id, review_id, 'theme_0' FROM asg WHERE source = 'web')
     SELECT a.session_id, a.review_id, b.cluster_id FROM asg a LEFT JOIN
       (SELECT session_id, review_id, arg_min(cluster_id, rank) AS cluster_id FROM m JOIN r USING (session_id, cluster_id) GROUP BY ALL) b
       USING (session_id, review_id)"""))
 def join_preview_cluster(spark, d):
     asg = assignments(spark, d)
     window = Window.partitionBy("session_id").orderBy(*ranking.by_priority())
-    ranked = clusters(spark, d, asg).withColumn("rank", F.row_number().over(window)).select(*themes.KEYS, "rank")
-    n = F.col("raw_index")
-    members = asg.where(n % 10 != 0).select(*themes.KEYS, "review_id").unionByName(
-        asg.where(n % 3 == 0).select("session_id", F.lit("theme_0").alias("cluster_id"), "review_id")
+    found = clusters(spark, d, asg)
+    ranked = found.withColumn("rank", F.row_number().over(window)).select(*themes.KEYS, "rank")
+    # weak clusters list no reviews; web reviews are listed by a second theme
+    strong = found.where(~F.col("weak")).select(*fresh(found, themes.KEYS))
+    members = asg.select(*themes.KEYS, "review_id").join(strong, themes.KEYS, "left_semi").unionByName(
+        asg.where("source = 'web'").select("session_id", F.lit("theme_0").alias("cluster_id"), "review_id")
     )
     return lookups.preview_cluster(asg.select("session_id", "review_id"), members, ranked)
 
@@ -85,19 +85,19 @@ SQL_QUOTES = """
 
 @query("join_quote_text", sql("asg", f"""WITH {SQL_QUOTES}
     SELECT session_id, cluster_id, count(*) AS n, md5(array_to_string(list(text ORDER BY rank), '|')) AS texts
-    FROM qt WHERE raw_index % 4 <> 0 GROUP BY ALL"""))
+    FROM qt GROUP BY ALL"""))
 def join_quote_text(spark, d):
     asg = assignments(spark, d)
-    stored = asg.where(F.col("raw_index") % 4 != 0).select("session_id", "review_id", "text")
+    stored = asg.select("session_id", "review_id", "text")
     found = lookups.quote_texts(quoted_clusters(asg), stored)
     return found.select(*themes.KEYS, F.size("quotes").cast("bigint").alias("n"), F.md5(F.array_join("quotes", "|")).alias("texts"))
 
 
 @query("join_alert_cluster", sql("alr clu", """
     SELECT a.session_id, a.alert_id, coalesce(c.label, a.cluster_id) AS label, coalesce(c.summary, '') AS summary, c.size, c.priority_score
-    FROM alr a LEFT JOIN (SELECT * FROM clu WHERE cluster_id <> 'theme_3') c USING (session_id, cluster_id)"""))
+    FROM alr a LEFT JOIN (SELECT * FROM clu WHERE NOT weak) c USING (session_id, cluster_id)"""))
 def join_alert_cluster(spark, d):
-    known = clusters(spark, d).where(F.col("cluster_id") != "theme_3")
+    known = clusters(spark, d).where(~F.col("weak"))  # weak clusters have no theme row
     return lookups.alert_facts(alerts(spark, d), known).select("session_id", "alert_id", "label", "summary", "size", "priority_score")
 
 

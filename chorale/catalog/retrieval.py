@@ -19,9 +19,9 @@ from chorale.session import settled
 
 
 def sections(found):
-    """A summary section per session, for all sessions but one."""
+    """A summary section per session."""
     texts = found.groupBy("session_id").agg(F.max_by("summary", F.struct("priority_score", "cluster_id")).alias("text"))
-    return texts.where(F.col("session_id") != "sess_3").select("session_id", F.lit("executive_summary").alias("section_name"), "text")
+    return texts.select("session_id", F.lit("executive_summary").alias("section_name"), "text")
 
 
 _built: dict[tuple[str, str], dict] = {}
@@ -117,7 +117,7 @@ def ret_trend(spark, d):
 
 
 @query("ret_report_section", sql("clu qs", """
-    WITH s AS (SELECT session_id, arg_max(summary, (priority_score, cluster_id)) AS t FROM clu WHERE session_id <> 'sess_3' GROUP BY ALL)
+    WITH s AS (SELECT session_id, arg_max(summary, (priority_score, cluster_id)) AS t FROM clu GROUP BY ALL)
     SELECT question_id, n AS section_name, CASE WHEN n = 'executive_summary' THEN coalesce(t, '') ELSE '' END AS text
     FROM (SELECT question_id, session_id, CASE WHEN topic % 2 = 0 THEN 'executive_summary' ELSE 'alerts' END AS n FROM qs) LEFT JOIN s USING (session_id)"""))
 def ret_report_section(spark, d):
@@ -168,7 +168,7 @@ SQL_ANSWER = f"""{SQL_QUOTES.strip()}, {SQL_ROUTE.strip()},
       FROM hit2 JOIN clu USING (session_id, cluster_id) JOIN (SELECT question_id FROM flg WHERE f_trend UNION SELECT question_id FROM cmp) USING (question_id) WHERE rank <= 2 GROUP BY ALL),
     quo AS (SELECT question_id, (list('`' || qt.cluster_id || '`: “' || text || '”' ORDER BY hit2.rank, qt.rank))[1:3] AS quotes
       FROM hit2 JOIN qt ON hit2.rank <= 2 AND qt.rank <= 2 AND qt.session_id = hit2.session_id AND qt.cluster_id = hit2.cluster_id GROUP BY ALL),
-    sec AS (SELECT session_id, arg_max(summary, (priority_score, cluster_id)) AS t FROM clu WHERE session_id <> 'sess_3' GROUP BY ALL),
+    sec AS (SELECT session_id, arg_max(summary, (priority_score, cluster_id)) AS t FROM clu GROUP BY ALL),
     ids AS (SELECT question_id, array_to_string(list('`' || cluster_id || '`' ORDER BY rank), ', ') AS ids FROM hit2 GROUP BY ALL)"""
 
 
