@@ -12,22 +12,19 @@ from chorale.plans import prepare
 from chorale.session import work_path
 from chorale.streaming import jobs
 
-FILES = 3
-
-
 def as_stream(spark, rows, label):
-    """The rows written as a few files and read back as a stream of one file per batch."""
+    """The rows written as files and read back as a stream of batches of bounded size."""
     path = work_path(spark, label)
-    rows.repartition(FILES).write.parquet(path)
+    rows.write.parquet(path)
     return jobs.file_stream(spark, path, rows.schema)
 
 
-def uploads(spark, d):
-    """One upload file per session, in a folder that names it."""
+def uploads(spark, d, per_batch=None):
+    """Upload files in a folder that names their session; a session may have many."""
     path = work_path(spark, "uploads")
     rows = feedback(spark, d).drop("ingested_from")
-    rows.repartition("session_id").write.partitionBy("session_id").parquet(path)
-    stream = jobs.file_stream(spark, path, rows.schema)
+    rows.write.partitionBy("session_id").parquet(path)
+    stream = jobs.file_stream(spark, path, rows.schema, per_batch=per_batch)
     return stream.withColumn("ingested_from", F.col("_metadata.file_path"))
 
 
@@ -48,7 +45,7 @@ def st_ingest_files(spark, d):
 
 @query("st_recover", SQL_INGESTED)
 def st_recover(spark, d):
-    out, state, stream = work_path(spark, "recovered"), work_path(spark, "state"), uploads(spark, d)
+    out, state, stream = work_path(spark, "recovered"), work_path(spark, "state"), uploads(spark, d, per_batch=16)
     run_ts = F.lit(RUN_TS).cast("timestamp")
 
     def crash(number):

@@ -26,22 +26,25 @@ def _start(writer, checkpoint: str, continuous: bool = False) -> StreamingQuery:
     return writer.start() if continuous else writer.trigger(availableNow=True).start()
 
 
-def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_batch: int = 1, **options: str) -> DataFrame:
-    """Files of a folder, oldest first, a bounded number per batch."""
-    reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", per_batch)
+def file_stream(
+    spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_batch: int | None = None, bytes_per_batch: int = 1 << 30, **options: str
+) -> DataFrame:
+    """Files of a folder, oldest first: batches of bounded size, or of ``per_batch`` files where that is given."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    reader = reader.option("maxBytesPerTrigger", bytes_per_batch) if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)
     return reader.options(**options).load(folder)
 
 
 def ingest(uploads: DataFrame, run_ts: Column, out: str, checkpoint: str, after: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Prepare arriving uploads; each upload replaces its own partition.
+    """Prepare arriving uploads; a batch that is run again replaces what it left, as it holds the same files.
 
-    ``uploads``: the raw columns of ``prepare.parsed``. Reviews of one session may come in many
-    uploads, so copies are found on read (:func:`ingested`).
+    ``uploads``: the raw columns of ``prepare.parsed``. A session may come in many uploads and batches, so
+    copies are found on read (:func:`ingested`), and folders grow with batches, not with sessions.
     """
     def store(batch: DataFrame, number: int) -> None:
         rows = prepare.parsed(batch, run_ts)
         tagged = rows.withColumn("upload", F.sha2(F.col("metadata.ingested_from"), 256))
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "upload").parquet(out)
+        tagged.write.mode("overwrite").parquet(f"{out}/batch={number}")
         if after is not None:
             after(number)
 
@@ -50,7 +53,7 @@ def ingest(uploads: DataFrame, run_ts: Column, out: str, checkpoint: str, after:
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
     """Kept reviews of all uploads so far."""
-    return prepare.first_per_hash(read_table(spark, out)).where(~F.col("residual"))
+    return prepare.first_per_hash(read_table(spark, out).drop("batch")).where(~F.col("residual"))
 
 
 def deduplicated(rows: DataFrame, event_time: str, delay: str, keys: list[str]) -> DataFrame:
