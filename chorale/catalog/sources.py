@@ -101,7 +101,7 @@ def src_input_limits(spark, d):
 def src_session_scan(spark, d):
     path = work_path(spark, "scan")
     writers.replace_sessions(assignments(spark, d), path)
-    stored = writers.read_table(spark, path)
+    stored = writers.read_sessions(spark, path, "sess_2")
     return readers.session_scan(stored, "sess_2", "reviews").select("session_id", "review_id", "source", "sentiment")
 
 
@@ -114,8 +114,7 @@ def snk_sanitized_jsonl(spark, d):
     path = work_path(spark, "jsonl")
     kept, _, _ = prepare.prepare(feedback(spark, d), F.lit(RUN_TS).cast("timestamp"))
     writers.write_sanitized(kept.select("session_id", "review_id", "language", F.col("text_anonymized").alias("text")), path)
-    stored = spark.read.schema("review_id string, language string, text string, session_id string").json(path)
-    return stored.select("session_id", "review_id", "language", F.sha2("text", 256).alias("text_sha256"))
+    return writers.read_sessions(spark, path).select("session_id", "review_id", "language", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("snk_replace_session", sql("asg", """
@@ -127,7 +126,7 @@ def snk_replace_session(spark, d):
     changed = asg.where(F.col("session_id").isin("sess_1", "sess_3")).withColumn("cluster_id", F.lit("moved"))
     writers.replace_sessions(changed, path)
     writers.replace_sessions(changed, path)
-    return writers.read_table(spark, path).groupBy("session_id").agg(
+    return writers.read_sessions(spark, path).groupBy("session_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("cluster_id") == "moved").alias("moved")
     )
 
@@ -230,4 +229,4 @@ def snk_report(spark, d):
     summaries = sessions.select("session_id", F.lit("done").alias("executive_summary"))
     writers.write_reports(report.artifacts(sessions, summaries, texts, F.lit("2024-06-01 00:00:00").cast("timestamp")), path)
     lines = F.size(F.split("markdown", "\n")).cast("bigint")
-    return writers.read_table(spark, path).select("session_id", "report_id", lines.alias("lines"), "degraded_mode")
+    return writers.read_sessions(spark, path).select("session_id", "report_id", lines.alias("lines"), "degraded_mode")

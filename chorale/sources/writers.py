@@ -5,29 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from chorale import schemas
 from chorale.operators.ranking import latest
+from chorale.sources import store
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Group rows by partition value before the write, splitting large values (AQE)."""
-    return df.hint("rebalance", F.col(key))
+#: Key of the tables that follow sessions.
+SESSION = ["session_id"]
 
 
 def write_sanitized(reviews: DataFrame, path: str) -> None:
-    """One JSON row per kept review, in a folder per session."""
-    _spread(reviews, "session_id").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("session_id").json(path)
+    """One JSON row per kept review; a session that comes again replaces its rows."""
+    store.commit(path, {"rows": reviews}, SESSION, fmt="json")
 
 
-def replace_sessions(rows: DataFrame, path: str) -> None:
-    """Replace all rows of the sessions that occur; other sessions stay."""
-    _spread(rows, "session_id").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("session_id").parquet(path)
+def replace_sessions(rows: DataFrame, path: str, cleared: DataFrame | None = None) -> None:
+    """Replace all rows of the sessions that occur, or that ``cleared`` names; other sessions stay."""
+    store.commit(path, {"rows": rows}, SESSION, cleared=None if cleared is None else {"rows": cleared})
+
+
+def read_sessions(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
+    """Rows of all sessions, or of one, for which only its bucket is read."""
+    return store.read(spark, path, **({} if session_id is None else {"session_id": session_id}))
 
 
 def append_log(rows: DataFrame, path: str, by: str, batch: str) -> None:
@@ -74,18 +74,17 @@ def current_state(changes: DataFrame, key: str, kept: list[str], raw: list[str])
 
 
 def upsert_vectors(vectors: DataFrame, path: str) -> None:
-    """Add vectors as a new version. Readers take the latest per item."""
-    vectors.write.mode("append").partitionBy("session_id", "kind").parquet(path)
+    """Store the newest version of each item; an item that comes again with an older one stays as it is."""
+    store.commit(path, {"rows": vectors}, ["session_id", "kind", "item_id"], order="version")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return latest(read_table(spark, path, merge=True), ["session_id", "kind", "item_id"], "version")
+    return store.read(spark, path)
 
 
 def save_index(parts: dict[str, DataFrame], path: str) -> None:
-    """Store the parts of a search index below one path, replacing the sessions they hold."""
-    for name, part in parts.items():
-        replace_sessions(part, f"{path}/{name}")
+    """Store the parts of a search index as one version, replacing the sessions each of them holds."""
+    store.commit(path, parts, SESSION)
 
 
 def load_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
@@ -93,8 +92,8 @@ def load_index(spark: SparkSession, path: str, names: list[str]) -> dict[str, Da
     parts = {}
     for name in names:
         try:
-            part = read_table(spark, f"{path}/{name}", merge=True)
-        except AnalysisException as error:
+            part = store.read(spark, path, name)
+        except FileNotFoundError as error:
             raise FileNotFoundError(f"INDEX_NOT_FOUND: {path}/{name}") from error
         for column, default in schemas.INDEX_DEFAULTS.items():
             value = F.col(column) if column in part.columns else F.lit(None).cast("string")

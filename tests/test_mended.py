@@ -37,7 +37,7 @@ def test_sessions_that_look_like_numbers_stay_apart(spark):
     rows = spark.createDataFrame([("001", 1), ("1", 2), ("2024-01-01", 3)], "session_id string, n int")
     path = work_path(spark, "ids")
     writers.replace_sessions(rows, path)
-    assert {(r["session_id"], r["n"]) for r in writers.read_table(spark, path).collect()} == {("001", 1), ("1", 2), ("2024-01-01", 3)}
+    assert {(r["session_id"], r["n"]) for r in writers.read_sessions(spark, path).collect()} == {("001", 1), ("1", 2), ("2024-01-01", 3)}
 
 
 def test_a_retried_append_adds_nothing(spark):
