@@ -40,7 +40,7 @@ INGESTED = ["session_id", "review_id", "dedupe_hash", "pii_hits"]
 def st_ingest_files(spark, d):
     out = work_path(spark, "ingested")
     jobs.ingest(uploads(spark, d), F.lit(RUN_TS).cast("timestamp"), out, work_path(spark, "state")).awaitTermination()
-    return jobs.ingested(spark, out).select(*INGESTED)
+    return jobs.ingested(spark, out)[0].select(*INGESTED)
 
 
 @query("st_recover", SQL_INGESTED)
@@ -58,7 +58,7 @@ def st_recover(spark, d):
         if "second batch" not in str(error):
             raise
     jobs.ingest(stream, run_ts, out, state).awaitTermination()
-    return jobs.ingested(spark, out).select(*INGESTED)
+    return jobs.ingested(spark, out)[0].select(*INGESTED)
 
 
 @query("st_dedupe", SQL_INGESTED.replace("SELECT session_id, review_id, dedupe_hash, pii_hits FROM h", "SELECT session_id, dedupe_hash FROM h"))
@@ -74,14 +74,16 @@ def moments(spark, d):
     return events_weekly(spark, d).select("key", F.col("moment").cast("timestamp").alias("moment"))
 
 
+#: Files of the tables hold rows of all dates in no order: no row is late within their whole span.
+SPAN = "4000 days"
 SQL_WEEKS = "wks AS (SELECT key, date_trunc('week', moment) AS week_start, count(*) AS n FROM ev GROUP BY ALL)"
 
 
 @query("st_weekly_counts", sql("ev", f"WITH {SQL_WEEKS} SELECT key, strftime(week_start, '%Y-%m-%d') AS week_start, n FROM wks"))
 def st_weekly_counts(spark, d):
     out = work_path(spark, "weekly")
-    counts = jobs.weekly_counts(as_stream(spark, moments(spark, d), "moments"), ["key"], "moment")
-    jobs.keep_current(counts, out, work_path(spark, "state")).awaitTermination()
+    counts = jobs.weekly_counts(as_stream(spark, moments(spark, d), "moments"), ["key"], "moment", SPAN)
+    jobs.keep_current(counts, ["key", "week_start"], out, work_path(spark, "state")).awaitTermination()
     return jobs.current(spark, out).select("key", F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "n")
 
 
@@ -95,9 +97,9 @@ def st_weekly_counts(spark, d):
 def st_spike_alerts(spark, d):
     out = work_path(spark, "alerts")
     # Events span five weeks: a minimum of six shows the short-history row next to the spike rule.
-    weekly = jobs.weekly_counts(as_stream(spark, moments(spark, d), "moments"), ["key"], "moment")
+    weekly = jobs.weekly_counts(as_stream(spark, moments(spark, d), "moments"), ["key"], "moment", SPAN)
     jobs.spike_alerts(weekly, ["key"], out, work_path(spark, "state"), min_weeks=6).awaitTermination()
-    return jobs.current(spark, out).select("key", "alert_id", "severity")
+    return jobs.current(spark, f"{out}/alerts").select("key", "alert_id", "severity")
 
 
 @query("st_event_log", sql("je", "SELECT stage, count(*) AS n, count(DISTINCT 'corr_' || job_id) AS correlated FROM je GROUP BY ALL"))
@@ -117,4 +119,4 @@ def st_metrics(spark, d):
     out = work_path(spark, "metrics")
     stream = as_stream(spark, job_events(spark, d), "events")
     jobs.metrics(stream, ["stage"], "latency", rules.JOB_LATENCY_EDGES, out, work_path(spark, "state")).awaitTermination()
-    return jobs.current_metrics(spark, out, ["stage"])
+    return jobs.current(spark, out)

@@ -146,6 +146,11 @@ def prepare(
     if store is not None:
         rows.write.mode("overwrite").parquet(store)
         rows = rows.sparkSession.read.parquet(store)
+    return gated(rows, invalid)
+
+
+def gated(rows: DataFrame, invalid: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept reviews, summary per session, failures) of parsed rows, and of the rows refused before parsing."""
     counters = summary(rows)
     kept, failed = sanitized(rows, counters)
     broken = invalid.groupBy("session_id").agg(F.min_by("code", "raw_index").alias("code"))

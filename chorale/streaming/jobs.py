@@ -7,15 +7,17 @@ what an earlier attempt left, so a restart ends in the same tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chorale.operators import trends
+from chorale.operators import gates, trends
 from chorale.operators.metrics import latency_histogram
-from chorale.operators.ranking import latest
 from chorale.plans import prepare
+from chorale.session import settled
+from chorale.sources import store
 from chorale.sources.writers import read_table
 
 WEEK, MONDAY = "7 days", "4 days"  # windows start on Thursday 1970-01-01; four days make it Monday
@@ -39,21 +41,27 @@ def ingest(uploads: DataFrame, run_ts: Column, out: str, checkpoint: str, after:
     """Prepare arriving uploads; a batch that is run again replaces what it left, as it holds the same files.
 
     ``uploads``: the raw columns of ``prepare.parsed``. A session may come in many uploads and batches, so
-    copies are found on read (:func:`ingested`), and folders grow with batches, not with sessions.
+    copies and gates are judged over all of them on read (:func:`ingested`), and folders grow with batches, not
+    with sessions. A row without its required fields is stored as a refusal; its session fails from then on.
     """
-    def store(batch: DataFrame, number: int) -> None:
-        rows = prepare.parsed(batch, run_ts)
+    def write(batch: DataFrame, number: int) -> None:
+        valid, invalid = gates.split_required(batch)
+        rows = prepare.parsed(valid, run_ts)
         tagged = rows.withColumn("upload", F.sha2(F.col("metadata.ingested_from"), 256))
         tagged.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        refused = invalid.select("session_id", "raw_index", "ingested_from", "code", "message")
+        refused.write.mode("overwrite").parquet(f"{out}-refused/batch={number}")
         if after is not None:
             after(number)
 
-    return _start(uploads.writeStream.foreachBatch(store), checkpoint)
+    return _start(uploads.writeStream.foreachBatch(write), checkpoint)
 
 
-def ingested(spark: SparkSession, out: str) -> DataFrame:
-    """Kept reviews of all uploads so far."""
-    return prepare.first_per_hash(read_table(spark, out).drop("batch")).where(~F.col("residual"))
+def ingested(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept reviews, summary per session, failures) of all uploads so far, as ``prepare.prepare`` gives them for one batch."""
+    refused = read_table(spark, f"{out}-refused").drop("batch")
+    rows = read_table(spark, out).drop("batch", "upload").join(refused, "session_id", "left_anti")
+    return prepare.gated(rows, refused)
 
 
 def deduplicated(rows: DataFrame, event_time: str, delay: str, keys: list[str]) -> DataFrame:
@@ -62,34 +70,55 @@ def deduplicated(rows: DataFrame, event_time: str, delay: str, keys: list[str])
 
 
 def weekly_counts(events: DataFrame, keys: list[str], event_time: str, delay: str = "7 days") -> DataFrame:
-    """Rows per key and Monday-based week."""
+    """Rows per key and Monday-based week.
+
+    State holds the weeks that still may get rows: a week's count is dropped from it once the newest row is
+    ``delay`` past the week's end, and rows of that week that come in later batches are not counted.
+    """
     watermarked = events.withWatermark(event_time, delay)
     counted = watermarked.groupBy(F.window(event_time, WEEK, WEEK, MONDAY), *keys).agg(F.count("*").alias("n"))
     return counted.select(*keys, F.col("window.start").alias("week_start"), "n")
 
 
-def keep_current(counts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the complete result of each batch over the last one."""
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+def _keep(batch: DataFrame, number: int, out: str, part: str, keys: list[str]) -> None:
+    """The batch's rows as the newest of their keys; a batch that is run again leaves the same table."""
+    store.commit(out, {part: batch.withColumn("batch", F.lit(number).cast("bigint"))}, keys, order="batch")
+
 
-    return _start(counts.writeStream.outputMode("complete").foreachBatch(store), checkpoint)
+def keep_current(counts: DataFrame, keys: list[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest row per key. A batch sends changed rows only; tables that later ones replace are removed."""
+    def write(batch: DataFrame, number: int) -> None:
+        _keep(batch, number, out, "rows", keys)
+        store.drop_superseded(batch.sparkSession, out)
 
+    return _start(counts.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
-def current(spark: SparkSession, out: str) -> DataFrame:
-    """The result of the newest batch."""
-    table = spark.read.parquet(out)
-    newest = table.agg(F.max("batch").alias("b")).select("b").scalar()
-    return table.where(F.col("batch") == newest).drop("batch")
+
+def current(spark: SparkSession, out: str, part: str = "rows") -> DataFrame:
+    """The newest row per key so far."""
+    rows = store.read(spark, out, part)
+    return rows.drop("batch")
 
 
 def spike_alerts(weekly: DataFrame, keys: list[str], out: str, checkpoint: str, **rule) -> StreamingQuery:
-    """After each batch, the spike rule over the weekly table so far."""
-    def store(batch: DataFrame, number: int) -> None:
-        found = trends.spike_alerts(trends.history(batch, keys, "week_start"), name=keys[0], **rule)
-        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    """Alerts of all keys so far (``current(spark, out + "/alerts")``), judged again for the keys a batch changes.
 
-    return _start(weekly.writeStream.outputMode("complete").foreachBatch(store), checkpoint)
+    The stream's state holds open weeks; closed ones are rows of the stored weekly table (``out + "/weekly"``), of
+    which a batch reads the buckets of its keys. A key whose alert no longer holds loses it.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        changed = settled(batch, "weeks")
+        _keep(changed, number, f"{out}/weekly", "rows", [*keys, "week_start"])
+        names = changed.select(*keys).distinct()
+        same = reduce(Column.__and__, [F.col(f"w.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys])
+        weeks = current(spark, f"{out}/weekly").alias("w").join(names.alias("c"), same, "left_semi")
+        found = trends.spike_alerts(trends.history(weeks, keys, "week_start"), name=keys[0], **rule)
+        store.commit(f"{out}/alerts", {"rows": found.withColumn("batch", F.lit(number).cast("bigint"))}, keys, cleared={"rows": names})
+        for name in ("weekly", "alerts"):
+            store.drop_superseded(spark, f"{out}/{name}")
+
+    return _start(weekly.writeStream.outputMode("update").foreachBatch(write), checkpoint)
 
 
 def event_log(events: DataFrame, out: str, checkpoint: str, by: str) -> StreamingQuery:
@@ -98,13 +127,5 @@ def event_log(events: DataFrame, out: str, checkpoint: str, by: str) -> Streamin
 
 
 def metrics(events: DataFrame, labels: list[str], value: str, edges: list[float], out: str, checkpoint: str) -> StreamingQuery:
-    """Running latency buckets: each batch writes the label sets that changed."""
-    def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    counted = latency_histogram(events, labels, value, edges)
-    return _start(counted.writeStream.outputMode("update").foreachBatch(store), checkpoint)
-
-
-def current_metrics(spark: SparkSession, out: str, labels: list[str]) -> DataFrame:
-    return latest(spark.read.parquet(out), [*labels, "le"], "batch").drop("batch")
+    """Running latency buckets (read with :func:`current`): each batch replaces the label sets that changed."""
+    return keep_current(latency_histogram(events, labels, value, edges), [*labels, "le"], out, checkpoint)
