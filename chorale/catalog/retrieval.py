@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chorale import rules
+from chorale import rules, schemas
+from chorale.catalog.aggregates import SQL_COUNTERS, SQL_SUMMARY
 from chorale.catalog.core import query
 from chorale.catalog.gates import alerts
 from chorale.catalog.joins import SQL_QUOTES, quoted_clusters
@@ -273,11 +274,17 @@ def rpt_exec_summary(spark, d):
     return report.executive_summary(sessions_of(found), found, alerts(spark, d))
 
 
+def sanitized_texts(rows):
+    """What may be shown of the reviews: masked texts without a residual."""
+    return rows.where(~F.col("residual")).select("session_id", "review_id", F.col("text_anonymized").alias("text"))
+
+
 def report_parts(spark, d):
+    rows = settled(parsed(spark, d), "parsed")
     asg = assignments(spark, d)
     found = settled(clusters(spark, d, asg), "clusters")
     spikes = alerts(spark, d)
-    counters = settled(prepare.refreshed(prepare.summary(parsed(spark, d))), "counters")
+    counters = settled(prepare.refreshed(prepare.summary(rows)), "counters")
     mixed = asg.groupBy("session_id").agg(F.count_if(F.col("language") == "mixed").alias("mixed_language_review_count"))
     diagnostics = themes.diagnostics(found, mixed)
     base = sessions_of(found)
@@ -288,19 +295,114 @@ def report_parts(spark, d):
             "attempt_count": F.lit(6), "degraded_reason": F.when(F.col("degraded_mode"), "low_clustering_quality"),
         }), "sessions",
     )
-    return asg, found, spikes, counters, diagnostics, sessions
-
-
-@query("rpt_markdown")
+    return rows, asg, found, spikes, counters, diagnostics, sessions
+
+
+def markdown_reports(spark, d):
+    """(parsed rows, report per session); quotes and listed reviews show sanitized texts."""
+    rows, asg, found, spikes, _, _, sessions = report_parts(spark, d)
+    shown = sanitized_texts(rows)
+    quotes = settled(lookups.quote_texts(quoted_clusters(asg), shown), "quotes")
+    listed = asg.drop("text").join(shown, lookups.REVIEW)
+    return rows, report.markdown(sessions, found, quotes, spikes, listed)
+
+
+def _sql_texts(section, texts, source, order=""):
+    """Report lines of one section from a source table, in the order of the texts; ``order`` goes before it."""
+    return f"SELECT session_id, {section} AS sec, {order or 'i, 0, 0'}, text FROM (SELECT *, unnest([{', '.join(texts)}]) AS text, unnest(range({len(texts)})) AS i FROM {source})"
+
+
+def _sql_line(section, text, source, order):
+    return f"SELECT session_id, {section} AS sec, {order}, {text} AS text FROM {source}"
+
+
+_HEAD = ["'# Feedback report for ' || session_id", "''", "'## Executive Summary'", "''", "executive_summary", "''", "'## Batch Overview'", "''"] + [
+    f"'- {title}: ' || {value}" for title, value in [
+        ("Total records", "total_records"), ("Reviews kept after preprocessing", "kept_records"), ("Duplicate records removed", "duplicate_records"),
+        ("Reviews quarantined by privacy gate", "quarantined_records"), ("Potential injection attempts", "injection_hits"),
+        ("Low-information reviews", "low_information_records"), ("Degraded mode", "CASE WHEN degraded_mode THEN 'yes' ELSE 'no' END"),
+    ]
+]
+_LOW = [
+    "''", "'## Low Data Mode'", "''", f"'Warning: fewer than {rules.LOW_DATA_ROWS} reviews were uploaded, so clustering reliability is limited.'",
+    "'Reviews are listed first, and any detected themes are provisional.'", "''", "'## Simple List View'", "''",
+]
+_TABLE = ["''", "'## Top Themes'", "''", "'| Cluster ID | Label | Reviews | Priority | Sentiment | Trend | Confidence |'", "'|---|---|---:|---:|---:|---:|---|'"]
+_ROW = "'| `' || cluster_id || '` | ' || label || ' | ' || size || ' | ' || " + " || ' | ' || ".join(
+    SQL_FIXED.format(c, 2) for c in ("priority_score", "sentiment_score", "trend_delta")
+) + " || ' | ' || confidence || ' |'"
+_THEME = [
+    "'### ' || label || ' (`' || cluster_id || '`)'", "''", "summary", "''",
+    *[f"'- {title}: ' || CASE WHEN len({c}) > 0 THEN array_to_string({c}, ', ') ELSE 'n/a' END" for title, c in (("Keywords", "keywords"), ("Sources", "sources"))],
+    "'- Priority score: ' || " + SQL_FIXED.format("priority_score", 2), "'- Confidence: ' || confidence", "'- Degraded reason: ' || coalesce(degraded_reason, 'n/a')", "''",
+]
+_RUN = ["''", "'## Run Diagnostics'", "''"] + [f"'- {title}: ' || {value}" for title, value in [
+    ("Clustering quality score", SQL_FIXED.format("0.4", 3)), ("Clustering backend", "'kmeans'"), ("Selected clustering profile", "'kmeans_3'"), ("Reflection attempts", "6"),
+    ("Total clusters included in report", "(SELECT count(*) FROM shw WHERE shw.session_id = ses.session_id)"), ("Weak signal clusters", "weak_signal_cluster_count"),
+    ("Mixed sentiment clusters", "mixed_sentiment_cluster_count"), ("Mixed-language reviews", "mixed_language_review_count"),
+    ("Low data mode", "CASE WHEN low_data_mode THEN 'yes' ELSE 'no' END"), ("Degraded reason", "CASE WHEN degraded_mode THEN 'low_clustering_quality' ELSE 'n/a' END"),
+]] + ["''"]
+_SPIKE = "'- `' || cluster_id || '` [' || severity || '] ' || reason || coalesce(' Spike ratio: ' || " + SQL_FIXED.format("spike_ratio", 2) + " || '.', '')"
+_LINES = [
+    _sql_texts(1, _HEAD, "ses"), _sql_texts(2, _LOW, "ses WHERE low_data_mode"),
+    _sql_line(3, "'- `' || review_id || '` [' || source || '] ' || strftime(created_at, '%Y-%m-%d') || ' `' || language || '` :: ' || text",
+              "(SELECT a.* EXCLUDE (text), s.text FROM asg a JOIN sny s USING (session_id, review_id)) WHERE session_id IN (SELECT session_id FROM ses WHERE low_data_mode)", "raw_index, 0, 0"),
+    _sql_texts(4, _TABLE, "ses"), _sql_line(5, _ROW, "shw", "rank, 0, 0"), _sql_texts(6, ["''", "'## Theme Detail'", "''"], "ses"),
+    _sql_texts(7, _THEME, "shw", "rank, 0, i"),
+    _sql_line(7, "'Top quotes:'", "shw WHERE len(quotes) > 0", "rank, 1, 0"),
+    _sql_line(7, "'- \"' || q || '\"'", "(SELECT *, unnest(quotes) AS q, generate_subscripts(quotes, 1) - 1 AS i FROM shw)", "rank, 2, i"),
+    _sql_line(7, "''", "shw WHERE len(quotes) > 0", "rank, 3, 0"),
+    _sql_texts(8, ["'## Weak Signals'", "''"], "ses"),
+    _sql_line(9, "'- `' || cluster_id || '` ' || label || ': ' || summary", "clu WHERE weak", "-priority_score, 0, 0"),
+    _sql_line(9, "'- No weak-signal clusters were detected in this batch.'", "ses WHERE session_id NOT IN (SELECT session_id FROM clu WHERE weak)", "0, 0, 0"),
+    _sql_texts(10, ["'## Alerts'", "''"], "ses"), _sql_line(11, _SPIKE, "spk", "o, 0, 0"),
+    _sql_line(11, "'  - \"' || q || '\"'", "(SELECT *, unnest(quotes[1:3]) AS q, generate_subscripts(quotes[1:3], 1) - 1 AS i FROM spk)", "o, 1, i"),
+    _sql_line(11, "'- No critical anomaly spikes were detected in the available history.'", "ses WHERE session_id NOT IN (SELECT session_id FROM spk)", "0, 0, 0"),
+    _sql_texts(12, ["''", "'## Notes'", "''", "'- Some clusters do not have enough weekly history for anomaly confirmation yet.'"], "ses WHERE session_id IN (SELECT session_id FROM alr WHERE insufficient_history)"),
+    _sql_texts(13, _RUN, "ses"),
+]
+#: Counters, diagnostics and summaries per session, from the views nrm, asg, clu and alr.
+SQL_SESSIONS = SQL_COUNTERS + ", smy AS (" + SQL_SUMMARY.format(" AND copy = 1 AND NOT residual") + f"), {SQL_EXEC.strip()}," + f"""
+    dia AS (SELECT c.*, reviews < {rules.LOW_DATA_ROWS} AS low_data_mode, mixed_language_review_count FROM
+      (SELECT session_id, sum(size) AS reviews, coalesce(array_to_string(list_sort(list(cluster_id) FILTER (weak)), ','), '') AS weak_signal_cluster_ids, count(*) FILTER (weak) AS weak_signal_cluster_count,
+        coalesce(array_to_string(list_sort(list(cluster_id) FILTER (mixed_sentiment)), ','), '') AS mixed_sentiment_cluster_ids, count(*) FILTER (mixed_sentiment) AS mixed_sentiment_cluster_count FROM clu GROUP BY ALL) c
+      LEFT JOIN (SELECT session_id, count(*) FILTER (language = 'mixed') AS mixed_language_review_count FROM asg GROUP BY ALL) USING (session_id)),
+    ses AS (SELECT *, session_id = 'sess_1' AS degraded_mode FROM exe JOIN smy USING (session_id) JOIN dia USING (session_id))"""
+SQL_MARKDOWN = SQL_SESSIONS + f""", {SQL_QUOTES.strip()},
+    sny AS MATERIALIZED (SELECT session_id, review_id, masked AS text FROM fst WHERE NOT residual),
+    quo AS (SELECT session_id, cluster_id, list(s.text ORDER BY rank) AS quotes FROM qt JOIN sny s USING (session_id, review_id) GROUP BY ALL),
+    shw AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority_score DESC, size DESC, cluster_id) AS rank
+      FROM (SELECT *, bool_or(NOT weak) OVER (PARTITION BY session_id) AS has_top FROM clu) LEFT JOIN quo USING (session_id, cluster_id) WHERE NOT weak OR NOT has_top QUALIFY rank <= {rules.REPORT_THEMES}),
+    spk AS (SELECT a.*, quotes, row_number() OVER (PARTITION BY session_id ORDER BY priority_score DESC, cluster_id) AS o
+      FROM alr a LEFT JOIN (SELECT session_id, cluster_id, priority_score FROM clu) USING (session_id, cluster_id) LEFT JOIN quo USING (session_id, cluster_id) WHERE NOT insufficient_history),
+    lns(session_id, sec, o0, o1, o2, text) AS ({' UNION ALL '.join(_LINES)}),
+    mdn AS (SELECT session_id, trim(string_agg(text, chr(10) ORDER BY sec, o0, o1, o2, text), ' ' || chr(10)) || chr(10) AS markdown FROM lns GROUP BY ALL)"""
+
+
+@query("rpt_markdown", sql("nrm asg clu alr", SQL_MARKDOWN + " SELECT session_id, markdown FROM mdn"))
 def rpt_markdown(spark, d):
-    asg, found, spikes, _, _, sessions = report_parts(spark, d)
-    quotes = settled(lookups.quote_texts(quoted_clusters(asg), asg), "quotes")
-    return report.markdown(sessions, found, quotes, spikes, asg)
-
-
-@query("rpt_runtime_metadata")
+    return markdown_reports(spark, d)[1]
+
+
+_META = {
+    "runtime_profile": "CASE WHEN hosted THEN 'llm-enhanced' ELSE 'deterministic' END", "presentation_mode": "CASE WHEN low_data_mode THEN 'simple_list' ELSE 'clustered' END",
+    "low_data_mode": "low_data_mode", "generation_backend_effective": "CASE WHEN hosted THEN 'hosted' ELSE 'local' END", "retrieval_backend_effective": "'local'",
+    "records_total": "total_records", "records_kept": "kept_records", "top_cluster_ids": "top_cluster_ids", "weak_signal_cluster_ids": "weak_signal_cluster_ids",
+    "weak_signal_count": "weak_signal_cluster_count", "mixed_sentiment_cluster_ids": "mixed_sentiment_cluster_ids",
+    "mixed_sentiment_cluster_count": "mixed_sentiment_cluster_count", "mixed_language_review_count": "mixed_language_review_count",
+}
+_KINDS = {"str": "VARCHAR", "bool": "BOOLEAN", "int": "BIGINT", "float": "DOUBLE"}
+_META |= {n: f"CAST('{v}' AS {_KINDS[type(v).__name__]})" for n, v in schemas.RUNTIME_DEFAULTS.items() if n not in _META}
+
+
+@query("rpt_runtime_metadata", sql("nrm asg clu alr je", SQL_SESSIONS + f""",
+    met AS (SELECT session_id, {', '.join(f'{v} AS {n}' for n, v in _META.items())}
+      FROM (SELECT *, session_id IN (SELECT 'sess_' || CAST(k % 4 AS VARCHAR) FROM je WHERE k % 8 = 1) AS hosted FROM ses)
+      LEFT JOIN (SELECT session_id, array_to_string(list(cluster_id ORDER BY rank), ',') AS top_cluster_ids FROM
+        (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority_score DESC, size DESC, cluster_id) AS rank FROM clu WHERE NOT weak QUALIFY rank <= 5) GROUP BY ALL) USING (session_id))
+    SELECT *, array_to_string(['## Runtime Metadata', '', {', '.join(f"'- {n.replace('_', ' ').capitalize()}: `' || coalesce(CAST({n} AS VARCHAR), 'n/a') || '`'" for n in _META)}, ''], chr(10)) AS appendix FROM met"""))
 def rpt_runtime_metadata(spark, d):
-    _, found, _, counters, diagnostics, _ = report_parts(spark, d)
+    _, _, found, _, counters, diagnostics, _ = report_parts(spark, d)
     usage = job_events(spark, d).select(
         F.concat(F.lit("sess_"), (F.col("k") % 4).cast("string")).alias("session_id"), F.col("stage").alias("agent"),
         F.when(F.col("k") % 4 == 0, "local").when(F.col("k") % 8 == 1, "hosted").otherwise("fallback").alias("mode"), F.lit(True).alias("used"),
@@ -314,9 +416,21 @@ def rpt_runtime_metadata(spark, d):
     return flat.join(report.runtime_lines(flat), "session_id")
 
 
-@query("rpt_session_detail")
+_ITEM = "struct_pack(rank := rank, cluster_id := cluster_id, label := label, size := size, priority_score := priority_score)"
+
+
+@query("rpt_session_detail", sql("nrm asg clu alr", SQL_SESSIONS + f""",
+    nst AS (SELECT session_id, to_json(list({_ITEM} ORDER BY rank)) AS clusters, coalesce(to_json(list({_ITEM} ORDER BY rank) FILTER (NOT weak)), '[]') AS top_clusters,
+      coalesce(to_json(list({_ITEM} ORDER BY rank) FILTER (weak)), '[]') AS weak_signals, count(*) FILTER (weak) AS n_weak
+      FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority_score DESC, size DESC, cluster_id) AS rank FROM clu) GROUP BY ALL),
+    alj AS (SELECT session_id, to_json(list(struct_pack(alert_id := alert_id, severity := severity, reason := reason) ORDER BY alert_id, severity, reason)) AS alerts FROM alr GROUP BY ALL)
+    SELECT session_id, degraded_mode, smy.* EXCLUDE (session_id), CAST(clusters AS VARCHAR) AS clusters, CAST(top_clusters AS VARCHAR) AS top_clusters, CAST(weak_signals AS VARCHAR) AS weak_signals,
+      CAST(alerts AS VARCHAR) AS alerts, 'report_' || session_id AS report_id, executive_summary, CASE WHEN low_data_mode THEN 'simple_list' ELSE 'clustered' END AS presentation_mode, low_data_mode,
+      CAST(to_json(list_filter([CASE WHEN low_data_mode THEN 'Low-data mode is active because fewer than {rules.LOW_DATA_ROWS} reviews were uploaded.' END,
+        CASE WHEN n_weak > 0 THEN CAST(n_weak AS VARCHAR) || ' weak-signal clusters were excluded from the top themes.' END], lambda w: w IS NOT NULL)) AS VARCHAR) AS warnings
+    FROM (SELECT session_id, degraded_mode, executive_summary, low_data_mode FROM ses) JOIN smy USING (session_id) LEFT JOIN nst USING (session_id) LEFT JOIN alj USING (session_id)"""))
 def rpt_session_detail(spark, d):
-    _, found, spikes, counters, diagnostics, sessions = report_parts(spark, d)
+    _, _, found, spikes, counters, diagnostics, sessions = report_parts(spark, d)
     reports = sessions.select("session_id", F.concat(F.lit("report_"), "session_id").alias("report_id"), "executive_summary")
     metadata = diagnostics.select("session_id", "low_data_mode", F.when(F.col("low_data_mode"), "simple_list").otherwise("clustered").alias("presentation_mode"))
     base = sessions.select("session_id", "degraded_mode")
@@ -326,24 +440,31 @@ def rpt_session_detail(spark, d):
 
 # --------------------------------------------------------------------------------------- evals
 
-@query("eval_pii_leak", sql("asg", r"""
+@query("eval_pii_leak", sql("nrm asg clu alr", SQL_MARKDOWN + r"""
     SELECT session_id, count(*) AS texts, count(*) FILTER (bad) AS leaks, count(*) FILTER (bad) = 0 AS passed
-    FROM (SELECT session_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') OR regexp_matches(text, '\+?\d[\d\-\s()]{7,}\d') AS bad FROM asg) GROUP BY ALL"""))
+    FROM (SELECT session_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') OR regexp_matches(text, '\+?\d[\d\-\s()]{7,}\d') AS bad
+      FROM (SELECT session_id, masked AS text FROM fst WHERE copy = 1 AND NOT residual UNION ALL SELECT session_id, markdown FROM mdn)) GROUP BY ALL"""))
 def eval_pii_leak(spark, d):
-    return evals.leak_check(assignments(spark, d))
+    rows, reports = markdown_reports(spark, d)
+    kept = sanitized_texts(prepare.first_per_hash(rows))
+    return evals.leak_check(kept.drop("review_id").unionByName(reports.withColumnRenamed("markdown", "text")))
+
 
+SQL_FIXED_QUESTIONS = "SELECT unnest([" + ", ".join(
+    f"struct_pack(question_id := '{i}', question := '{q}', expected_prefix := '{p}')" for i, (q, p) in enumerate(rules.FIXED_QUESTIONS)
+) + "], max_depth := 2)"
 
-@query("eval_fixed_questions", sql("asg clu qs", f"""WITH {SQL_INDEX}, {sql_search('', 'ask', 1)}
-    SELECT a.question_id, 'theme_' || CAST(topic % 7 AS VARCHAR) AS expected_prefix, cluster_id, coalesce(starts_with(cluster_id, 'theme_' || CAST(topic % 7 AS VARCHAR)), false) AS passed
-    FROM ask a LEFT JOIN hit USING (question_id)"""))
+
+@query("eval_fixed_questions", sql("asg clu qs", f"""WITH {SQL_INDEX},
+    fxq AS (SELECT DISTINCT session_id || '-' || question_id AS question_id, session_id, question, expected_prefix, 0 AS topic FROM clu, ({SQL_FIXED_QUESTIONS})), {sql_search('', 'fxq', 1)}
+    SELECT a.session_id, a.question, a.expected_prefix, cluster_id, coalesce(starts_with(cluster_id, a.expected_prefix), false) AS passed
+    FROM fxq a LEFT JOIN hit USING (question_id)"""))
 def eval_fixed_questions(spark, d):
-    rows = questions(spark, d)
-    hits = search.search(rows.withColumnRenamed("question", "query"), index(spark, d), 1)
-    expected = questions(spark, d).select(
-        F.col("question_id").alias("question"), F.concat(F.lit("theme_"), (F.col("topic") % 7).cast("string")).alias("expected_prefix")
-    )
-    done = evals.fixed_question_check(hits.select(F.col("question_id").alias("question"), "cluster_id"), expected)
-    return done.withColumnRenamed("question", "question_id")
+    built = index(spark, d)
+    asked = evals.fixed_questions(sessions_of(built["cluster_rows"]).select("session_id"))
+    hits = search.search(asked.withColumnRenamed("question", "query"), built, 1).select("question_id", "cluster_id")
+    named = asked.select("question_id", "session_id", "question").join(hits, "question_id")
+    return evals.fixed_question_check(named.drop("question_id"), asked.drop("question_id"))
 
 
 @query("eval_run_completeness", sql("je", """

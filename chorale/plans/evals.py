@@ -20,12 +20,22 @@ def leak_check(texts: DataFrame) -> DataFrame:
     ).withColumn("passed", F.col("leaks") == 0)
 
 
+def fixed_questions(sessions: DataFrame) -> DataFrame:
+    """The fixed questions asked of every session: question_id, session_id, question, expected_prefix."""
+    asked = F.array(*[
+        F.struct(F.lit(str(i)).alias("i"), F.lit(q).alias("question"), F.lit(p).alias("expected_prefix"))
+        for i, (q, p) in enumerate(rules.FIXED_QUESTIONS)
+    ])
+    rows = sessions.select("session_id", F.explode(asked).alias("a"))
+    return rows.select(F.concat_ws("-", "session_id", "a.i").alias("question_id"), "session_id", "a.question", "a.expected_prefix")
+
+
 def fixed_question_check(first_hits: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rank-1 hits against the expected cluster prefix.
+    """Rank-1 hits against the expected cluster prefix; a question without a hit fails.
 
-    ``first_hits``: session_id, question, cluster_id; ``expected``: question, expected_prefix.
+    ``first_hits``: session_id, question, cluster_id; ``expected``: session_id, question, expected_prefix.
     """
-    joined = expected.join(first_hits, "question", "left")
+    joined = expected.join(first_hits, ["session_id", "question"], "left")
     return joined.withColumn(
         "passed", F.coalesce(F.startswith("cluster_id", "expected_prefix"), F.lit(False))
     )
