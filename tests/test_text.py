@@ -180,3 +180,31 @@ def test_slug_and_labels(spark):
 def test_every_fixed_pattern_compiles(spark):
     patterns = [p for p, _ in rules.MASKS] + list(rules.INTENTS.values()) + [rules.LEAK_EMAIL, rules.LEAK_PHONE, rules.MASKABLE]
     spark.range(1).select(*[F.lit("x").rlike(p) for p in patterns]).collect()
+
+
+def test_every_blank_and_letter_counts_as_before(spark):
+    """The faster forms of squeeze, language and perplexity against the plain ones, over single characters."""
+    chars = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["\U0001f600"]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string")
+    around = F.concat(F.lit("a b"), F.col("c"), F.lit(" "), F.col("c"), F.lit("b"))
+    low = F.lower("c")
+    found = rows.select(
+        "c", text.squeeze(around).alias("s"), F.trim(F.regexp_replace(F.replace(around, F.lit("​"), F.lit(" ")), text.SPACES, " ")).alias("s0"),
+        text.language(F.col("c")).alias("l"), low.rlike("[а-яё]").alias("ru"), low.rlike("[a-z]").alias("en"),
+        text.lower_perplexity(F.concat(F.lit("abcdefg"), F.col("c"))).alias("p"), F.col("c").rlike(f"^{text.SPACES}$").alias("blank"),
+    ).collect()
+    assert [r for r in found if r["s"] != r["s0"]] == []
+    assert [r for r in found if (r["l"] in ("ru", "mixed"), r["l"] in ("en", "mixed")) != (r["ru"], r["en"])] == []
+    assert [r for r in found if (r["p"] == 1.0) != r["blank"]] == []
+
+
+def test_texts_are_cleaned_once_a_row(spark):
+    """A filter on the flags must not compute all masks again: that plan had thousands of patterns."""
+    from chorale.operators import gates
+    from chorale.plans import prepare
+
+    fields = ["session_id", "raw_index", "review_id", "source", "text", "created_at", "rating", "language", "app_version", "ingested_from"]
+    raw = spark.createDataFrame([("s", 0, "r", "web", "buy http://a http://b http://c", "2024-01-01", "1", "", "", "f")], fields)
+    rows = gates.review_candidates(prepare.parsed(raw, F.lit("2024-06-01").cast("timestamp"))).select("review_id", "flags")
+    assert [tuple(r) for r in rows.collect()] == [("r", ["spam"])]
+    assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 20_000
