@@ -91,7 +91,8 @@ def _write(path: str, number: int, part: str, new: DataFrame, entry: Row | None,
     replaced = rows.select(*keys, BUCKET)
     if cleared is not None:
         replaced = replaced.unionByName(mark(cleared.select(*keys)))
-    replaced = replaced.distinct()
+    # a table of its own, so that its size is known: few keys are broadcast, and no stored row is shuffled by key
+    replaced = settled(replaced.distinct(), f"replaced-{part}")
     touched = [r[0] for r in replaced.select(BUCKET).distinct().collect()]  # at most as many as buckets
     schema = _merged_schema(T.StructType([]) if entry is None else T.StructType.fromJson(json.loads(entry["schema"])), new.schema, part)
     versions = [0] * buckets if entry is None else list(entry["versions"])
