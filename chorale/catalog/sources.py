@@ -112,7 +112,7 @@ def src_session_scan(spark, d):
     QUALIFY row_number() OVER (PARTITION BY session_id, copy ORDER BY raw_index) = 1"""))
 def snk_sanitized_jsonl(spark, d):
     path = work_path(spark, "jsonl")
-    kept, _, _ = prepare.prepare(feedback(spark, d), F.lit(RUN_TS).cast("timestamp"))
+    kept, _, _ = prepare.prepare(feedback(spark, d), F.lit(RUN_TS).cast("timestamp"), store=work_path(spark, "parsed"))
     writers.write_sanitized(kept.select("session_id", "review_id", "language", F.col("text_anonymized").alias("text")), path)
     return writers.read_sessions(spark, path).select("session_id", "review_id", "language", F.sha2("text", 256).alias("text_sha256"))
 
