@@ -191,11 +191,12 @@ def test_every_blank_and_letter_counts_as_before(spark):
     found = rows.select(
         "c", text.squeeze(around).alias("s"), F.trim(F.regexp_replace(F.replace(around, F.lit("​"), F.lit(" ")), text.SPACES, " ")).alias("s0"),
         text.language(F.col("c")).alias("l"), low.rlike("[а-яё]").alias("ru"), low.rlike("[a-z]").alias("en"),
-        text.lower_perplexity(F.concat(F.lit("abcdefg"), F.col("c"))).alias("p"), F.col("c").rlike(f"^{text.SPACES}$").alias("blank"),
+        text.lower_perplexity(F.concat(F.lit("abcdefg"), low)).alias("p"), text.perplexity(F.concat(F.lit("abcdefg"), F.col("c"))).alias("p0"), F.col("c").rlike(f"^{text.SPACES}$").alias("blank"),
     ).collect()
     assert [r for r in found if r["s"] != r["s0"]] == []
     assert [r for r in found if (r["l"] in ("ru", "mixed"), r["l"] in ("en", "mixed")) != (r["ru"], r["en"])] == []
     assert [r for r in found if (r["p"] == 1.0) != r["blank"]] == []
+    assert [r["p"] for r in found] == pytest.approx([r["p0"] for r in found])
 
 
 def test_texts_are_cleaned_once_a_row(spark):
