@@ -80,3 +80,22 @@ def test_mode_thresholds_are_arguments(spark):
     rows = spark.createDataFrame([("s", 40, 0.5)], "session_id string, reviews int, quality_score double")
     assert clustering.run_mode(rows).first()["degraded_mode"] is False
     assert clustering.run_mode(rows, low_data_rows=50).first()["low_data_mode"] is True
+
+
+def test_reports_read_the_assigned_reviews_once_and_store_no_parsed_texts(spark, tmp_path, monkeypatch):
+    from chorale.catalog import retrieval, views
+
+    rows = [(i, f"the payment of {i % 9} crashes and fails", "en", "web", 12 * (i % 4)) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    frames, settled, again = {}, retrieval.settled, []
+
+    def record(df, label):
+        frames[label] = settled(df, label)
+        return frames[label]
+
+    monkeypatch.setattr(retrieval, "settled", record)
+    monkeypatch.setattr(views, "assignments", lambda *a, f=views.assignments: again.append(1) or f(*a))
+    found = retrieval.rpt_session_detail(spark, str(tmp_path)).collect()
+    assert sum(r.total_records for r in found) == 60
+    assert "parsed" not in frames and "text" not in frames["assignments"].columns
+    assert not again  # alerts and themes take the stored ones
