@@ -6,12 +6,14 @@ other form a group, and another point joins the group of its nearest core point
 Points meet in buckets. A session of at most ``exact_rows`` distinct points is one bucket, and the result exact.
 In a larger one, ``TABLES`` hash tables of ``BITS`` random projections each, cut at ``WIDTH * eps``, bring
 neighbours together: two points at distance ``eps`` miss each other in all tables with a chance of 1.5 %, nearer ones
-less often, and far ones hardly ever meet. Every meeting is checked by the exact distance.
+less often, and far ones hardly ever meet. Where ``eps`` is so wide that the buckets of a session hold as many pairs as the
+session itself, it is one bucket, and exact. Every meeting is checked by the exact distance.
 
 Equal vectors count as one point with copies. A bucket of more than ``tile_rows`` points is cut into
 tiles that share some pivots; only points that are not settled among their own tile and the pivots (no core point yet,
 or outside the bucket's main group) meet the other tiles. So a dense group costs its size, not
-its square. A task returns at most ``min_samples`` neighbours and one link a point, never pairs.
+its square. A task returns at most ``min_samples`` neighbours and one link a point, never pairs. Buckets follow from ``eps``
+alone and groups from ``min_samples``, so attempts with other settings share them (``met``, ``grouped``, ``labelled``).
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from chorale.operators.clustering import _components, connected_components
 from chorale.session import settled
 
 TABLES, BITS, WIDTH = 8, 4, 4.0
-EXACT_ROWS, TILE_ROWS, PIVOTS = 4096, 2048, 16
+EXACT_ROWS, TILE_ROWS, PIVOTS, BLOCK = 4096, 8192, 16, 1024
 BUCKET = ["session_id", "bucket"]
+UNITS = [*BUCKET, "tile", "part"]
 
 
 def settings(points: DataFrame, eps: float, size: Column | int = rules.MIN_CLUSTER_SIZE, samples: Column | int = rules.MIN_SAMPLES) -> DataFrame:
@@ -74,9 +77,15 @@ def placed(nodes: DataFrame, exact_rows: int, tile_rows: int) -> DataFrame:
 
     sizes = nodes.groupBy("session_id").agg(F.count("*").alias("points"))
     sized = nodes.join(sizes, "session_id")
-    small = sized.where(F.col("points") <= exact_rows).withColumn("bucket", F.lit(0).cast("long"))
-    large = sized.where(F.col("points") > exact_rows).withColumn("bucket", F.explode(codes("vector", "eps")))
-    both = small.unionByName(large).drop("points")
+    one = F.array(F.lit(0).cast("long"))
+    small = sized.where(F.col("points") <= exact_rows).withColumn("buckets", one)
+    large = sized.where(F.col("points") > exact_rows).withColumn("buckets", codes("vector", "eps"))
+    coded = settled(small.unionByName(large), "density-codes")
+    square = lambda n: F.col(n).cast("double") * F.col(n)
+    held = coded.select("session_id", "points", F.explode("buckets").alias("bucket")).groupBy(*BUCKET, "points").agg(F.count("*").alias("held"))
+    whole = held.groupBy("session_id").agg((F.sum(square("held")) >= F.max(square("points"))).alias("whole"))
+    both = coded.join(whole, "session_id").withColumn("bucket", F.explode(F.when(F.col("whole"), one).otherwise(F.col("buckets"))))
+    both = both.drop("points", "buckets", "whole")
     counts = both.groupBy(*BUCKET).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("in_bucket"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     return settled(both.join(counts.where("in_bucket > 1").drop("in_bucket"), BUCKET).withColumn("tile", tile), "density-placed")
@@ -107,22 +116,29 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
 
 
+def _by_tile(rows: DataFrame, run, schema: str) -> DataFrame:
+    # a tile is much work for few bytes: partitions are not merged by size
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *UNITS).groupBy(*UNITS).applyInPandas(run, schema)
+
+
 def _neighbours(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of every asking row the nearest others within eps, min_samples at most."""
+    """Of every asking row some others within eps, min_samples at most; a row that has them meets no further block."""
     names = ["node", "other", "times"]
     frame = _prepared(frame)
     x, asks = np.stack(frame["vector"].to_list()), np.flatnonzero(frame["asks"])
     node, times = frame["node"].to_numpy(), frame["times"].to_numpy()
-    eps, k = float(frame["eps"].iloc[0]), min(int(frame["min_samples"].iloc[0]), len(frame) - 1)
-    out = []
-    for at in range(0, len(asks), 512):
-        mine = asks[at : at + 512]
-        squares = _squares(x[mine], x)
-        squares[np.arange(len(mine)), mine] = np.inf
-        if k > 0:
-            near = np.argpartition(squares, k - 1, axis=1)[:, :k]
-            row, place = np.nonzero(np.take_along_axis(squares, near, axis=1) <= eps * eps)
-            other = near[row, place]
+    eps, k = float(frame["eps"].iloc[0]), int(frame["min_samples"].iloc[0])
+    order, have, out = np.random.default_rng(0).permutation(len(frame)), np.zeros(len(frame), int), []
+    for at in range(0, len(frame), BLOCK):
+        theirs, asks = order[at : at + BLOCK], asks[have[asks] < k]
+        for begin in range(0, len(asks), BLOCK):
+            mine = asks[begin : begin + BLOCK]
+            near = (_squares(x[mine], x[theirs]) <= eps * eps) & (mine[:, None] != theirs[None, :])
+            row, place = np.nonzero(near)
+            fits = np.arange(len(row)) - np.searchsorted(row, row) < (k - have[mine])[row]
+            row, other = row[fits], theirs[place[fits]]
+            have[mine] += np.bincount(row, minlength=len(mine))
             out.append(pd.DataFrame({"node": node[mine[row]], "other": node[other], "times": times[other]}))
     return pd.concat(out)[names] if out else pd.DataFrame(columns=names).astype("int64")
 
@@ -139,19 +155,20 @@ def _linked(kind: str):
         for mine, inner in ((np.flatnonzero(asks & core), True), (np.flatnonzero(asks & ~core), False)):
             if not len(mine) or not len(theirs):
                 continue
-            squares = _squares(x[mine], x[theirs])
+            cuts = [mine[at : at + BLOCK] for at in range(0, len(mine), BLOCK)]
             if inner:
-                part = _components(squares <= eps * eps)
+                part = _components(np.concatenate([_squares(x[cut], x[theirs]) <= eps * eps for cut in cuts]))
                 ends = np.concatenate([mine, theirs])
                 linked = part >= 0
                 out.append(pd.DataFrame({"node": node[ends[linked]], "other": node[mine[part[linked]]], "distance": -1.0, "other_item": None}))
             else:
-                best = squares.argmin(1)
-                found = squares[np.arange(len(mine)), best] <= eps * eps
-                to = theirs[best[found]]
-                out.append(pd.DataFrame({
-                    "node": node[mine[found]], "other": node[to], "distance": squares[np.arange(len(mine)), best][found], "other_item": item[to],
-                }))
+                for cut in cuts:
+                    squares = _squares(x[cut], x[theirs])
+                    best = squares.argmin(1)
+                    least = squares[np.arange(len(cut)), best]
+                    found = least <= eps * eps
+                    to = theirs[best[found]]
+                    out.append(pd.DataFrame({"node": node[cut[found]], "other": node[to], "distance": least[found], "other_item": item[to]}))
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
     return link, f"node long, other long, distance double, other_item {kind}"
@@ -159,15 +176,14 @@ def _linked(kind: str):
 
 def neighbours(rows: DataFrame, tile_rows: int) -> DataFrame:
     """(node, other, times): neighbours of every node, min_samples of them or all."""
-    units = ["session_id", "bucket", "tile", "part"]
     schema = "node long, other long, times long"
-    first = settled(_own_tiles(rows).groupBy(*units).applyInPandas(_neighbours, schema).distinct(), "density-near")
+    first = settled(_by_tile(_own_tiles(rows), _neighbours, schema).distinct(), "density-near")
     cut = rows.where("tiles > 1")
     if cut.isEmpty():
         return first
     enough = _core(rows, first).where("core").select("node")
     rest = cut.join(enough, "node", "left_anti")
-    more = _other_tiles(cut, rest, tile_rows).groupBy(*units).applyInPandas(_neighbours, schema)
+    more = _by_tile(_other_tiles(cut, rest, tile_rows), _neighbours, schema)
     return settled(first.unionByName(more).distinct(), "density-near")
 
 
@@ -181,9 +197,8 @@ def _core(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, tile_rows: int) -> DataFrame:
     """(node, other, distance, other_item) that connect the groups; ``rows`` of ``placed`` with ``core``."""
-    units = ["session_id", "bucket", "tile", "part"]
     link, schema = _linked(dict(rows.dtypes)["item_id"])
-    first = settled(_own_tiles(rows).groupBy(*units).applyInPandas(link, schema), "density-links")
+    first = settled(_by_tile(_own_tiles(rows), link, schema), "density-links")
     cut = rows.where("tiles > 1")
     if cut.isEmpty():
         return first
@@ -195,20 +210,22 @@ def links(rows: DataFrame, tile_rows: int) -> DataFrame:
     main = sizes.groupBy(*BUCKET).agg(F.max(F.struct("n", "component")).getField("component").alias("main"))
     outside = ~F.col("component").eqNullSafe(F.col("main"))  # points that are no core points have no group yet
     rest = grouped.join(main, BUCKET, "left").where(outside).drop("component", "main")
-    more = _other_tiles(cut, rest, tile_rows).groupBy(*units).applyInPandas(link, schema)
+    more = _by_tile(_other_tiles(cut, rest, tile_rows), link, schema)
     return first.unionByName(settled(more, "density-links"))
 
 
-def density_clusters(points: DataFrame, sessions: DataFrame, exact_rows: int = EXACT_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(session_id, item_id, label) of every point: 0, 1, .. by size, then smallest member; -1 for noise.
-
-    ``points``: session_id, item_id (any type with an order), vector; ``sessions``: see :func:`settings`. Groups with
-    fewer than ``min_cluster_size`` points are noise, as are points without a vector.
-    """
+def met(points: DataFrame, sessions: DataFrame, exact_rows: int = EXACT_ROWS, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points by key, nodes, rows of ``placed``) for the ``eps`` of every session."""
     keyed, nodes = distinct_points(points)
-    rows = placed(nodes.join(sessions, "session_id"), exact_rows, tile_rows)
+    return keyed, nodes, placed(nodes.join(sessions.select("session_id", "eps"), "session_id"), exact_rows, tile_rows)
+
+
+def grouped(nodes: DataFrame, rows: DataFrame, sessions: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Every node of a group with its ``component``, by the ``min_samples`` of ``sessions``; other sessions are left out."""
+    samples = sessions.select("session_id", "min_samples")
+    rows = rows.join(samples, "session_id")
     # a vector with copies alone in its session or buckets has no row there
-    alone = nodes.where("times > 1").join(sessions, "session_id").where("times > min_samples").select("node")
+    alone = nodes.where("times > 1").join(samples, "session_id").where("times > min_samples").select("node")
     core = settled(_core(rows, neighbours(rows, tile_rows)), "density-core")
     found = settled(links(rows.join(core, "node"), tile_rows), "density-found")
     cores = core.where("core").select("node").union(alone).distinct()
@@ -216,12 +233,26 @@ def density_clusters(points: DataFrame, sessions: DataFrame, exact_rows: int = E
     parts = connected_components(cores, inner)
     nearest = found.where("distance >= 0").groupBy("node").agg(F.min(F.struct("distance", "other_item", "other")).getField("other").alias("other"))
     border = nearest.join(parts.withColumnRenamed("node", "other"), "other").select("node", "component")
-    member = settled(parts.unionByName(border).join(nodes.select("node", "key", "session_id", "item_id", "times"), "node"), "density-members")
+    return settled(parts.unionByName(border).join(nodes.select("node", "key", "session_id", "item_id", "times"), "node"), "density-members")
+
+
+def labelled(points: DataFrame, keyed: DataFrame, member: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, item_id, label) of ``points`` from the groups, by the ``min_cluster_size`` of ``sessions``."""
     groups = member.groupBy("session_id", "component").agg(F.sum("times").alias("size"), F.min("item_id").alias("first"))
     kept = groups.join(sessions, "session_id").where("size >= min_cluster_size")
     number = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("size"), "first")) - 1
     named = member.join(kept.select("session_id", "component", number.alias("label")), ["session_id", "component"])
-    labelled = hot_join(keyed, named.select("key", "times", "label"), "key", points.count()).select("session_id", "item_id", "label")
-    return points.select("session_id", "item_id").distinct().join(labelled.distinct(), ["session_id", "item_id"], "left").select(
+    labels = hot_join(keyed, named.select("key", "times", "label"), "key", points.count()).select("session_id", "item_id", "label")
+    return points.select("session_id", "item_id").distinct().join(labels.distinct(), ["session_id", "item_id"], "left").select(
         "session_id", "item_id", F.coalesce("label", F.lit(-1)).alias("label")
     )
+
+
+def density_clusters(points: DataFrame, sessions: DataFrame, exact_rows: int = EXACT_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(session_id, item_id, label) of every point: 0, 1, .. by size, then smallest member; -1 for noise.
+
+    ``points``: session_id, item_id (any type with an order), vector; ``sessions``: see :func:`settings`. Groups with
+    fewer than ``min_cluster_size`` points are noise, as are points without a vector.
+    """
+    keyed, nodes, rows = met(points, sessions, exact_rows, tile_rows)
+    return labelled(points, keyed, grouped(nodes, rows, sessions, tile_rows), sessions)

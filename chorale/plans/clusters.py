@@ -18,12 +18,19 @@ ATTEMPT = ["session_id", "ord", "backend", "profile_name", "quality_score", "clu
 def density_attempts(
     points: DataFrame, eps: float, gate: float, max_clusters: int, exact_rows: int = density.EXACT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """(labels with their ``profile_name``, attempts): a profile runs only for sessions that none before it satisfied."""
+    """(labels with their ``profile_name``, attempts): a profile runs only for sessions that none before it satisfied.
+
+    Points meet once for all profiles; a profile that asks for as many neighbours as the one before takes over its groups.
+    """
     todo = points.groupBy("session_id").agg(F.count("*").alias("n"))
-    labels, attempts = [], []
+    keyed, nodes, rows = density.met(points, density.settings(points, eps), exact_rows)
+    labels, attempts, asked = [], [], None
     for number, (name, size, samples) in enumerate(clustering.profiles(F.col("n")), 1):
         mine = points.join(todo, "session_id", "left_semi")
-        found = settled(density.density_clusters(mine, density.settings(mine, eps, size, samples), exact_rows), "profile-labels")
+        wanted = density.settings(mine, eps, size, samples)
+        if samples is not asked:
+            member, asked = density.grouped(nodes, rows, wanted), samples
+        found = settled(density.labelled(mine, keyed, member, wanted), "profile-labels")
         quality = silhouette_linear(mine.join(found, ["session_id", "item_id"]), ["session_id"], "label").select("session_id", "quality_score")
         counts = clustering.cluster_counts(found, ["session_id"], "label").join(quality, "session_id", "left")
         tried = settled(counts.select(

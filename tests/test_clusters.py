@@ -180,3 +180,21 @@ def test_next_profile_runs_for_unsatisfied_sessions_only(spark):
     shown = labels.join(selection, "session_id").groupBy("session_id", "cluster_count").agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n"))
     assert all(r.cluster_count == r.n for r in shown.collect()) and labels.count() == 133
     assert pd.unique(labels_of(labels, "good", 90)).tolist() == [0, 1, 2]
+
+
+def test_a_wide_radius_makes_a_large_session_one_exact_bucket(spark):
+    """Tables that separate nothing hold every pair several times; then all rows meet once, in tiles, and no neighbour is missed."""
+    x = np.random.default_rng(9).normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = points(spark, {"s": x})
+    nodes = density.distinct_points(df)[1].join(density.settings(df, 0.8), "session_id")
+    assert density.placed(nodes, exact_rows=100, tile_rows=64).count() == 300
+    got = density.density_clusters(df, density.settings(df, 0.8), exact_rows=100, tile_rows=64)
+    assert labels_of(got, "s", 300).tolist() == plain_density(x, 0.8, 2, 5).tolist()
+
+
+def test_profiles_with_the_same_neighbours_share_groups(spark, monkeypatch):
+    sessions, made, grouped = {"noise": np.random.default_rng(6).normal(size=(40, 8)) * 30}, [], density.grouped
+    monkeypatch.setattr(density, "grouped", lambda *args: made.append(grouped(*args)) or made[-1])
+    labels, attempts = plan.density_attempts(points(spark, sessions), 1.5, 0.35, 20)
+    assert attempts.count() == 3 and labels.count() == 120 and len(made) == 2
