@@ -3,11 +3,10 @@
 A point is core if at least ``min_samples`` other points lie within ``eps``; core points within ``eps`` of each
 other form a group, and another point joins the group of its nearest core point within ``eps``.
 
-Points meet in buckets. A session of at most ``exact_rows`` distinct points is one bucket, and the result exact.
-In a larger one, ``TABLES`` hash tables of ``BITS`` random projections each, cut at ``WIDTH * eps``, bring
-neighbours together: two points at distance ``eps`` miss each other in all tables with a chance of 1.5 %, nearer ones
-less often, and far ones hardly ever meet. Where ``eps`` is so wide that the buckets of a session hold as many pairs as the
-session itself, it is one bucket, and exact. Every meeting is checked by the exact distance.
+Points meet in buckets. All points of a session are one bucket, whatever its size, so the result is exact. Only a caller who
+gives ``exact_rows`` asks for less: sessions of more distinct points are then cut into ``TABLES`` hash tables of ``BITS``
+random projections each, in which two points at distance ``eps`` miss each other with a chance of 1.5 % (and which make one exact bucket
+where they separate nothing). No plan or query does. Every meeting is checked by the exact distance.
 
 Equal vectors count as one point with copies. A bucket of more than ``tile_rows`` points is cut into
 tiles that share some pivots; only points that are not settled among their own tile and the pivots (no core point yet,
@@ -29,7 +28,7 @@ from chorale.operators.clustering import _components, connected_components
 from chorale.session import settled
 
 TABLES, BITS, WIDTH = 8, 4, 4.0
-EXACT_ROWS, TILE_ROWS, PIVOTS, BLOCK = 4096, 8192, 16, 1024
+TILE_ROWS, PIVOTS, BLOCK = 8192, 16, 1024
 BUCKET = ["session_id", "bucket"]
 UNITS = [*BUCKET, "tile", "part"]
 
@@ -68,8 +67,8 @@ def distinct_points(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("session_id", "item_id", "key"), settled(nodes.withColumn("node", F.monotonically_increasing_id()), "density-nodes")
 
 
-def placed(nodes: DataFrame, exact_rows: int, tile_rows: int) -> DataFrame:
-    """A row for each bucket of a node that other nodes are in too: session_id, bucket, tile, tiles and the node's columns."""
+def _by_tables(nodes: DataFrame, exact_rows: int) -> DataFrame:
+    """``nodes`` with a row for each ``bucket``: hash tables in sessions of more than ``exact_rows`` nodes."""
 
     @F.pandas_udf("array<long>")
     def codes(vector: pd.Series, eps: pd.Series) -> pd.Series:
@@ -85,7 +84,12 @@ def placed(nodes: DataFrame, exact_rows: int, tile_rows: int) -> DataFrame:
     held = coded.select("session_id", "points", F.explode("buckets").alias("bucket")).groupBy(*BUCKET, "points").agg(F.count("*").alias("held"))
     whole = held.groupBy("session_id").agg((F.sum(square("held")) >= F.max(square("points"))).alias("whole"))
     both = coded.join(whole, "session_id").withColumn("bucket", F.explode(F.when(F.col("whole"), one).otherwise(F.col("buckets"))))
-    both = both.drop("points", "buckets", "whole")
+    return both.drop("points", "buckets", "whole")
+
+
+def placed(nodes: DataFrame, exact_rows: int | None, tile_rows: int) -> DataFrame:
+    """A row for each bucket of a node that other nodes are in too: session_id, bucket, tile, tiles and the node's columns."""
+    both = nodes.withColumn("bucket", F.lit(0).cast("long")) if exact_rows is None else _by_tables(nodes, exact_rows)
     counts = both.groupBy(*BUCKET).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"), F.count("*").alias("in_bucket"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     return settled(both.join(counts.where("in_bucket > 1").drop("in_bucket"), BUCKET).withColumn("tile", tile), "density-placed")
@@ -214,7 +218,7 @@ def links(rows: DataFrame, tile_rows: int) -> DataFrame:
     return first.unionByName(settled(more, "density-links"))
 
 
-def met(points: DataFrame, sessions: DataFrame, exact_rows: int = EXACT_ROWS, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def met(points: DataFrame, sessions: DataFrame, exact_rows: int | None = None, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(points by key, nodes, rows of ``placed``) for the ``eps`` of every session."""
     keyed, nodes = distinct_points(points)
     return keyed, nodes, placed(nodes.join(sessions.select("session_id", "eps"), "session_id"), exact_rows, tile_rows)
@@ -248,7 +252,7 @@ def labelled(points: DataFrame, keyed: DataFrame, member: DataFrame, sessions: D
     )
 
 
-def density_clusters(points: DataFrame, sessions: DataFrame, exact_rows: int = EXACT_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def density_clusters(points: DataFrame, sessions: DataFrame, exact_rows: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(session_id, item_id, label) of every point: 0, 1, .. by size, then smallest member; -1 for noise.
 
     ``points``: session_id, item_id (any type with an order), vector; ``sessions``: see :func:`settings`. Groups with

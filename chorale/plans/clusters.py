@@ -15,15 +15,13 @@ from chorale.session import settled
 ATTEMPT = ["session_id", "ord", "backend", "profile_name", "quality_score", "cluster_count", "noise_fraction"]
 
 
-def density_attempts(
-    points: DataFrame, eps: float, gate: float, max_clusters: int, exact_rows: int = density.EXACT_ROWS
-) -> tuple[DataFrame, DataFrame]:
+def density_attempts(points: DataFrame, eps: float, gate: float, max_clusters: int) -> tuple[DataFrame, DataFrame]:
     """(labels with their ``profile_name``, attempts): a profile runs only for sessions that none before it satisfied.
 
     Points meet once for all profiles; a profile that asks for as many neighbours as the one before takes over its groups.
     """
     todo = points.groupBy("session_id").agg(F.count("*").alias("n"))
-    keyed, nodes, rows = density.met(points, density.settings(points, eps), exact_rows)
+    keyed, nodes, rows = density.met(points, density.settings(points, eps))
     labels, attempts, asked = [], [], None
     for number, (name, size, samples) in enumerate(clustering.profiles(F.col("n")), 1):
         mine = points.join(todo, "session_id", "left_semi")
@@ -46,14 +44,13 @@ def density_attempts(
 
 def clustered(
     points: DataFrame, eps: float, max_k: int, gate: float = rules.QUALITY_GATE, max_clusters: int = rules.MAX_CLUSTERS,
-    exact_rows: int = density.EXACT_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(labels, attempts, selection): session_id, item_id, label by the attempt that ``selection`` names for the session.
 
     ``points``: session_id, item_id, vector. Sessions below the least cluster size, or where no attempt has a quality above zero,
     are one cluster, labelled 0.
     """
-    dense, tried = density_attempts(points, eps, gate, max_clusters, exact_rows)
+    dense, tried = density_attempts(points, eps, gate, max_clusters)
     swept, sweeps, _ = sweep.sweep(points, max_k)
     more = sweeps.select("session_id", (F.col("k") + 100).alias("ord"), "backend", "profile_name", "quality_score", "cluster_count", "noise_fraction")
     attempts = settled(tried.unionByName(more), "attempts")
@@ -68,9 +65,7 @@ def clustered(
     return by_density.unionByName(by_sweep).unionByName(single), attempts, selection
 
 
-def themed(
-    reviews: DataFrame, vectors: DataFrame, eps: float, max_k: int, exact_rows: int = density.EXACT_ROWS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+def themed(reviews: DataFrame, vectors: DataFrame, eps: float, max_k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reviews with their ``cluster_id``, attempts, selection): what roll-ups, quotes and alerts are made from.
 
     ``reviews``: sanitized rows with session_id and review_id; ``vectors``: session_id, review_id, vector, one space a session.
@@ -79,6 +74,6 @@ def themed(
     points = reviews.select("session_id", F.col("review_id").alias("item_id")).join(
         vectors.select("session_id", F.col("review_id").alias("item_id"), "vector"), ["session_id", "item_id"], "left"
     )
-    labels, attempts, selection = clustered(settled(points, "review-points"), eps, max_k, exact_rows=exact_rows)
+    labels, attempts, selection = clustered(settled(points, "review-points"), eps, max_k)
     named = labels.select("session_id", F.col("item_id").alias("review_id"), clustering.label_key(F.col("label")).alias("cluster_id"))
     return reviews.join(named, ["session_id", "review_id"]), attempts, selection

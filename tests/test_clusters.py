@@ -198,3 +198,14 @@ def test_profiles_with_the_same_neighbours_share_groups(spark, monkeypatch):
     monkeypatch.setattr(density, "grouped", lambda *args: made.append(grouped(*args)) or made[-1])
     labels, attempts = plan.density_attempts(points(spark, sessions), 1.5, 0.35, 20)
     assert attempts.count() == 3 and labels.count() == 120 and len(made) == 2
+
+
+def test_a_large_session_is_exact_whatever_its_size(spark):
+    """900 chains of five points at the radius, more points than were once compared exactly: no link of a chain is missed."""
+    rng = np.random.default_rng(12)
+    steps = rng.normal(size=(900, 4, 24))
+    steps *= 0.99 / np.linalg.norm(steps, axis=2)[:, :, None]
+    x = np.concatenate([rng.normal(size=(900, 1, 24)) * 40, steps], axis=1).cumsum(1).reshape(-1, 24)
+    df = points(spark, {"s": x})
+    got = labels_of(density.density_clusters(df, density.settings(df, 1.0)), "s", len(x)).reshape(900, 5)
+    assert (got >= 0).all() and (got == got[:, :1]).all() and len(set(got[:, 0])) == 900
